@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dotweave.llm import isomedia, lineblocks, tokencount
+from dotweave.llm import bagminhash, isomedia, lineblocks, tokencount
 from dotweave.llm.common import table
 
 
@@ -14,6 +14,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineblocks.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
@@ -26,5 +30,26 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count(table(spark, sf_dir, "documents"), ["doc_id"], tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_html_main_text, op5_iso_media, op6_token_counts)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_near_duplicates, op4_html_main_text, op5_iso_media, op6_token_counts)}
+
+#: Exact weighted Jaccard of all pairs that share a shingle, then components; equal texts are one.
+NEAR_DUPLICATES = """
+WITH RECURSIVE texts AS (
+  SELECT md5(coalesce(text, '')) AS k, min(doc_id) AS id, count(*) AS copies, any_value(coalesce(text, '')) AS t FROM documents GROUP BY 1
+), words AS (
+  SELECT k, list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '') AS w FROM texts
+), grams AS (
+  SELECT k, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
+  FROM words WHERE len(w) > 0
+), bags AS (SELECT k, g, count(*) AS c FROM grams GROUP BY ALL),
+totals AS (SELECT k, sum(c) AS n FROM bags GROUP BY k),
+shared AS (SELECT x.k AS a, y.k AS b, sum(least(x.c, y.c)) AS s FROM bags x JOIN bags y ON x.g = y.g AND x.k < y.k GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN totals p ON p.k = a JOIN totals q ON q.k = b WHERE s >= 0.8 * (p.n + q.n - s)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(k, root) AS (SELECT k, k FROM texts UNION SELECT w.b, r.root FROM reach r JOIN ways w ON w.a = r.k),
+roots AS (SELECT k, min(root) AS root FROM reach GROUP BY k),
+sizes AS (SELECT root, min(id) AS class_id, CAST(sum(copies) AS BIGINT) AS class_size FROM texts JOIN roots USING (k) GROUP BY root)
+SELECT d.doc_id, s.class_id, s.class_size FROM documents d JOIN roots r ON r.k = md5(coalesce(d.text, '')) JOIN sizes s USING (root)
+"""
+
+ORACLES: dict[str, str] = {"op3_near_duplicates": NEAR_DUPLICATES}
