@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dotweave.llm import bagminhash, isomedia, lineblocks, tokencount
+from dotweave.llm import bagminhash, isomedia, lineblocks, quality, tokencount
 from dotweave.llm.common import table
 
 
@@ -30,7 +31,21 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count(table(spark, sf_dir, "documents"), ["doc_id"], tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_near_duplicates, op4_html_main_text, op5_iso_media, op6_token_counts)}
+def training_part(id: str = "i") -> Column:
+    """The rows that labels may be learned from."""
+    return F.crc32(F.col(id).cast("string").cast("binary")) % 5 != 0
+
+
+def document_path() -> Column:
+    """Documents have no path; their language stands for one below the source."""
+    return F.concat_ws("/", F.col("source"), F.col("lang"))
+
+
+def op10_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "source", document_path(), part=training_part())
+
+
+QUERIES = {f.__name__: f for f in (op3_near_duplicates, op4_html_main_text, op5_iso_media, op6_token_counts, op10_quality_scores)}
 
 #: Exact weighted Jaccard of all pairs that share a shingle, then components; equal texts are one.
 NEAR_DUPLICATES = """
