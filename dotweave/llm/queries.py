@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dotweave.llm import bagminhash, isomedia, lineblocks, quality, tokencount
+from dotweave.llm import bagminhash, isomedia, lineblocks, quality, templates, tokencount
 from dotweave.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count(table(spark, sf_dir, "documents"), ["doc_id"], tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def training_part(id: str = "i") -> Column:
     """The rows that labels may be learned from."""
     return F.crc32(F.col(id).cast("string").cast("binary")) % 5 != 0
@@ -45,7 +49,7 @@ def op10_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "source", document_path(), part=training_part())
 
 
-QUERIES = {f.__name__: f for f in (op3_near_duplicates, op4_html_main_text, op5_iso_media, op6_token_counts, op10_quality_scores)}
+QUERIES = {f.__name__: f for f in (op3_near_duplicates, op4_html_main_text, op5_iso_media, op6_token_counts, op7_benchmark_leaks, op10_quality_scores)}
 
 #: Exact weighted Jaccard of all pairs that share a shingle, then components; equal texts are one.
 NEAR_DUPLICATES = """
@@ -67,4 +71,40 @@ sizes AS (SELECT root, min(id) AS class_id, CAST(sum(copies) AS BIGINT) AS class
 SELECT d.doc_id, s.class_id, s.class_size FROM documents d JOIN roots r ON r.k = md5(coalesce(d.text, '')) JOIN sizes s USING (root)
 """
 
-ORACLES: dict[str, str] = {"op3_near_duplicates": NEAR_DUPLICATES}
+#: The same templates and windows, compared as lists of words.
+BENCHMARK_LEAKS = r"""
+WITH source AS (SELECT DISTINCT coalesce(text, '') AS t FROM documents),
+both_ AS (SELECT 'd' AS side, t, CAST(NULL AS BIGINT) AS item, row_number() OVER () AS r FROM source UNION ALL SELECT 'b', coalesce(text, ''), item_id, row_number() OVER () FROM benchmark),
+raw AS (SELECT side, t, item, r, list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> '') AS raw FROM both_),
+tokens AS (
+  SELECT side, t, item, r, list_filter([CASE
+    WHEN regexp_matches(w, '[0-9]') THEN {'t': '<n>', 'p': lower(regexp_replace(w, '[^\p{L}\p{N}]+', '', 'g'))}
+    WHEN i > 1 AND regexp_matches(w, '^[^\p{L}\p{N}]*\p{Lu}\p{Ll}') AND NOT regexp_matches(raw[i - 1], '[.!?:|]["'')\]]*$') THEN {'t': '<name>', 'p': lower(regexp_replace(w, '[^\p{L}\p{N}]+', '', 'g'))}
+    WHEN i > 1 AND regexp_matches(raw[i - 1], '[0-9]') AND list_contains(string_split('@UNITS@', ' '), lower(regexp_replace(w, '[^\p{L}\p{N}]+', '', 'g'))) THEN {'t': '<u>', 'p': lower(regexp_replace(w, '[^\p{L}\p{N}]+', '', 'g'))}
+    ELSE {'t': lower(regexp_replace(w, '[^\p{L}\p{N}]+', '', 'g')), 'p': lower(regexp_replace(w, '[^\p{L}\p{N}]+', '', 'g'))} END
+    FOR w, i IN raw], lambda x: x.t <> '') AS tok FROM raw
+),
+items AS (SELECT item, r, tok, least(len(tok), 8) AS k FROM tokens WHERE side = 'b' AND len(tok) >= 5),
+iw AS (
+  SELECT item, r, k, a AS iat, tok[a:a + k - 1] AS w FROM (SELECT item, r, tok, k, unnest(range(1, len(tok) - k + 2)) AS a FROM items)
+),
+iw2 AS (SELECT *, list_transform(w, lambda x: x.t) AS words, len(list_filter(w, lambda x: x.t IN ('<n>', '<name>', '<u>'))) AS slots FROM iw),
+iw3 AS (SELECT *, count(*) OVER (PARTITION BY r) AS n FROM iw2 WHERE k - slots >= 4),
+dw AS (
+  SELECT r AS d, k, a AS pos, tok[a:a + k - 1] AS w FROM (SELECT r, tok, k, unnest(range(1, len(tok) - k + 2)) AS a FROM tokens, (SELECT DISTINCT k FROM items) WHERE side = 'd' AND len(tok) >= k)
+),
+met AS (SELECT d, i.item, i.r, i.n, i.iat, i.slots, any_value(i.w) AS iw, arg_min(dw.w, dw.pos) AS dw FROM (SELECT *, list_transform(w, lambda x: x.t) AS words FROM dw) dw JOIN iw3 i ON dw.k = i.k AND dw.words = i.words GROUP BY ALL),
+filled AS (SELECT d, r, unnest(list_filter(list_zip(iw, dw), lambda z: z[1].t IN ('<n>', '<name>', '<u>'))) AS z FROM met WHERE slots > 0),
+vals AS (SELECT d, r, z[1].p AS v, count(DISTINCT z[2].p) > 1 AS two FROM filled GROUP BY ALL),
+checked AS (SELECT d, r, count(*) AS slot_values, count(*) FILTER (two) AS conflicts FROM vals GROUP BY ALL),
+found AS (SELECT d, item, r, n, count(*) AS found, count(*) FILTER (slots = 0) AS literal FROM met GROUP BY ALL),
+leaks AS (
+  SELECT d, item, n, coalesce(slot_values, 0) AS slot_values, coalesce(conflicts, 0) AS conflicts, CASE WHEN coalesce(conflicts, 0) = 0 THEN found ELSE literal END AS windows
+  FROM found LEFT JOIN checked USING (d, r)
+)
+SELECT o.doc_id, l.item AS item_id, l.windows, l.n AS item_windows, l.slot_values, l.conflicts
+FROM leaks l JOIN tokens t ON t.side = 'd' AND t.r = l.d JOIN documents o ON coalesce(o.text, '') = t.t
+WHERE l.windows >= greatest(1, least(6, ceil(l.n * 0.5)))
+""".replace("\\\\", "\\").replace("@UNITS@", templates.UNITS)
+
+ORACLES: dict[str, str] = {"op3_near_duplicates": NEAR_DUPLICATES, "op7_benchmark_leaks": BENCHMARK_LEAKS}
