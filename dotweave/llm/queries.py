@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dotweave.llm import bagminhash, isomedia, lineblocks, quality, templates, tokencount
+from dotweave.llm import bagminhash, isomedia, lineblocks, mixing, quality, shards, templates, tokencount
 from dotweave.llm.common import table
 
 
@@ -15,6 +15,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.sequences(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
+def op2_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.positions(table(spark, sf_dir, "documents"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,7 +57,7 @@ def op10_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "source", document_path(), part=training_part())
 
 
-QUERIES = {f.__name__: f for f in (op3_near_duplicates, op4_html_main_text, op5_iso_media, op6_token_counts, op7_benchmark_leaks, op10_quality_scores)}
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_mixed_sources, op3_near_duplicates, op4_html_main_text, op5_iso_media, op6_token_counts, op7_benchmark_leaks, op10_quality_scores)}
 
 #: Exact weighted Jaccard of all pairs that share a shingle, then components; equal texts are one.
 NEAR_DUPLICATES = """
