@@ -14,7 +14,8 @@ Bands of the signature give candidate buckets. Every bucket compares its members
 with one pivot, the member met most often in other buckets; links are verified on
 whole texts and joined into components. Buckets that still hold two components
 are then compared in full, in blocks, so nothing is capped and members already in
-one component are never paired again.
+one component are never paired again; of a large bucket only those links leave
+a block that join two components.
 
 Edge cases: texts are compared whole, nulls as the empty text; equal texts are
 one class before any signature; a text under five words is one shingle; texts
@@ -41,6 +42,8 @@ BANDS, ROWS = 24, 5
 SIZE = BANDS * ROWS
 #: A pair is verified on its texts if its signatures agree at least so far: four standard deviations below the similarity asked for.
 SLACK = 4.0
+#: Buckets up to so many rows give their likely pairs; larger ones are compared in blocks of so many rows, where only links leave the task.
+FEW = 48
 BLOCK = 1024
 BATCH_CHARS = 6_000_000
 
@@ -148,10 +151,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 to += 1
             total, times = signatures(*shingles(texts[at:to]), to - at)
             bits = _mix(times.view(np.uint64).copy())
-            sig = (bits & np.uint64(0xFF)).astype(np.uint8)
+            sig = (bits & np.uint64(0xFFFF)).astype("<u2")
             band = np.zeros((to - at, BANDS), np.uint64)
             for r in range(ROWS):
-                band = _mix(band * _C[2] + bits[:, r::ROWS][:, :BANDS])
+                band = _mix(band * _C[2] + sig[:, r::ROWS].astype(np.uint64))
             band = _mix(band ^ (np.arange(1, BANDS + 1, dtype=np.uint64) * _C[0])).view(np.int64)
             bands = [b.tolist() if w else [] for b, w in zip(band, total)]
             yield pa.RecordBatch.from_arrays(
@@ -162,8 +165,18 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Similarity estimated from rows of 8-bit components."""
-    return ((a == b).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
+    """Similarity estimated from rows of 16-bit components."""
+    return (a == b).mean(axis=-1)
+
+
+def _first_band(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first band that two rows of components share."""
+    same = (a == b).reshape(*a.shape[:-1], BANDS, ROWS) if a.ndim >= b.ndim else (a == b).reshape(len(b), BANDS, ROWS)
+    return same.all(axis=-1).argmax(axis=-1)
+
+
+def _sigs(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), "<u2").reshape(-1, SIZE)
 
 
 def _least(similarity: float) -> float:
@@ -176,7 +189,7 @@ def _close(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
 
     def likely(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SIZE) for c in ("sa", "sb"))
+            x, y = (_sigs(batch.column(c).to_pylist()) for c in ("sa", "sb"))
             yield batch.select(["a", "b"]).filter(pa.array(_agree(x, y) >= least))
 
     def sure(batches):
@@ -208,25 +221,63 @@ def jaccards(a: list[str], b: list[str]) -> list[float]:
     return np.where(whole > 0, shared / np.maximum(whole, 1), 1.0).tolist()
 
 
-def _blocks(similarity: float):
-    """Compares the members of a bucket across two blocks, where they are of different components."""
+def _pairs(similarity: float):
+    """The likely pairs of a small bucket, of different components, that meet in no earlier band."""
     least = _least(similarity)
 
-    def run(_, rows: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(-1, SIZE)
-        key, root = rows["key"].to_numpy(), pd.factorize(rows["root"])[0]
-        block, pivot = rows["block"].to_numpy(), rows["pivot"].to_numpy()
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        sig, key, root, pivot = _sigs(rows["sig"]), rows["key"].to_numpy(), pd.factorize(rows["root"])[0], rows["pivot"].to_numpy()
+        band = rows["band"].iloc[0]
+        i, j = np.triu_indices(len(rows), 1)
+        live = (root[i] != root[j]) & ~pivot[i] & ~pivot[j]
+        i, j = i[live], j[live]
+        live = (_agree(sig[i], sig[j]) >= least) & (_first_band(sig[i], sig[j]) == band) if len(i) else live[:0]
+        return pd.DataFrame([(min(key[x], key[y]), max(key[x], key[y])) for x, y in zip(i[live], j[live])], columns=["a", "b"])
+
+    return run
+
+
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each bag as a sorted set of 32-bit numbers, one for each occurrence of a shingle."""
+    for batch in batches:
+        doc, s, c = shingles(batch.column("body").to_pylist())
+        nth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        e = (_mix(np.repeat(s, c) + nth.astype(np.uint64) * _C[1]) & np.uint64(0xFFFFFFFF)).astype("<u4")
+        doc = np.repeat(doc, c)
+        e = e[np.lexsort((e, doc))]
+        ends = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([e[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())], names=["key", "elements"])
+
+
+def _links(similarity: float):
+    """The links between two blocks of a large bucket that join components; at most one less than its rows."""
+    least = _least(similarity)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        sig, key, root, block = _sigs(rows["sig"]), rows["key"].to_numpy(), pd.factorize(rows["root"])[0], rows["block"].to_numpy()
+        sets = [np.frombuffer(x, "<u4") for x in rows["elements"]]
+        band = rows["band"].iloc[0]
         one = block.min() == block.max()
         left = np.flatnonzero(block == block.min())
         right = left if one else np.flatnonzero(block == block.max())
         found = []
         for n, i in enumerate(left):
-            if pivot[i]:
-                continue
             j = right[n + 1 :] if one else right
-            j = j[(root[j] != root[i]) & ~pivot[j]]
-            j = j[_agree(sig[j], sig[i]) >= least] if len(j) else j
-            found += [(min(key[i], key[k]), max(key[i], key[k])) for k in j]
+            j = j[root[j] != root[i]]
+            if len(j):
+                j = j[_agree(sig[j], sig[i]) >= least]
+            if len(j):
+                j = j[_first_band(sig[j], sig[i]) == band]
+            if not len(j):
+                continue
+            sizes = np.array([len(sets[k]) for k in j])
+            every = np.concatenate([sets[k] for k in j])
+            at = np.minimum(np.searchsorted(sets[i], every), len(sets[i]) - 1)
+            shared = np.bincount(np.repeat(np.arange(len(j)), sizes), sets[i][at] == every, len(j))
+            for k in j[shared >= similarity * (sizes + len(sets[i]) - shared)]:
+                if root[k] != root[i]:
+                    found.append((min(key[i], key[k]), max(key[i], key[k])))
+                    root[root == root[k]] = root[i]
         return pd.DataFrame(found, columns=["a", "b"])
 
     return run
@@ -239,7 +290,7 @@ def classes(df: DataFrame, id: str = "doc_id", text: str = "text", similarity: f
     sketch = keyed.mapInArrow(_sketch, f"key binary, id {df.schema[id].dataType.simpleString()}, sig binary, bands array<bigint>")
     nodes = cut_lineage(sketch.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")))
 
-    met = nodes.select("key", F.explode("bands").alias("h"))
+    met = nodes.select("key", F.posexplode("bands").alias("band", "h"))
     shared = met.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = cut_lineage(met.join(shared, "h"))
     central = buckets.groupBy("key").agg(F.sum("n").alias("met"))
@@ -255,11 +306,17 @@ def classes(df: DataFrame, id: str = "doc_id", text: str = "text", similarity: f
     roots = components(links)
     rooted = buckets.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = rooted.where("n > 2").groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
-    rest = rooted.join(mixed, "h").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
-    dealt = rest.join(known.select("key", "sig"), "key").select("h", "key", "root", "sig", "block", (F.col("key") == F.col("pivot")).alias("pivot"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    dealt = dealt.withColumns({"i": F.least("block", F.col("other").cast("bigint")), "j": F.greatest("block", F.col("other").cast("bigint"))})
-    late = dealt.groupBy("h", "i", "j").applyInPandas(lambda k, rows: _blocks(similarity)(k, rows), "a binary, b binary").distinct()
-    more = _close(cut_lineage(late.join(tried, ["a", "b"], "left_anti")), known, similarity)
+    rest = rooted.join(mixed, "h").join(known.select("key", "sig"), "key").withColumn("pivot", F.col("key") == F.col("pivot"))
+    few = rest.where(F.col("n") <= FEW).select("h", "band", "key", "root", "sig", "pivot")
+    late = few.groupBy("h").applyInPandas(lambda rows: _pairs(similarity)(rows), "a binary, b binary")
+
+    many = cut_lineage(rest.where(F.col("n") > FEW))
+    bags = known.join(many.select("key").distinct(), "key").select("key", "body").mapInArrow(_elements, "key binary, elements binary")
+    dealt = many.join(bags, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
+    dealt = dealt.select("h", "band", "key", "root", "sig", "elements", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    dealt = dealt.withColumns({"i": F.least("block", F.col("other").cast("bigint")), "j": F.greatest("block", F.col("other").cast("bigint"))}).drop("other")
+    joined = dealt.groupBy("h", "i", "j").applyInPandas(lambda rows: _links(similarity)(rows), "a binary, b binary")
+    more = _close(cut_lineage(late.union(joined).distinct()), known, similarity)
 
     roots = components(links.union(more)).withColumnRenamed("node", "key")
     every = nodes.select("key", "id", "copies").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dotweave.llm import bagminhash, isomedia, lineblocks, mixing, quality, shards, templates, tokencount
+from dotweave.llm import bagminhash, isomedia, lineblocks, mixing, quality, shards, templates, tokencount, toxicity
 from dotweave.llm.common import table
 
 
@@ -53,11 +53,18 @@ def document_path() -> Column:
     return F.concat_ws("/", F.col("source"), F.col("lang"))
 
 
+def op9_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), part=training_part())
+    scored = toxicity.score(docs, model, ["doc_id"])
+    return scored.withColumn("held_out", ~F.coalesce(training_part("doc_id"), F.lit(True)))
+
+
 def op10_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "source", document_path(), part=training_part())
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op2_mixed_sources, op3_near_duplicates, op4_html_main_text, op5_iso_media, op6_token_counts, op7_benchmark_leaks, op10_quality_scores)}
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_mixed_sources, op3_near_duplicates, op4_html_main_text, op5_iso_media, op6_token_counts, op7_benchmark_leaks, op9_toxicity_scores, op10_quality_scores)}
 
 #: Exact weighted Jaccard of all pairs that share a shingle, then components; equal texts are one.
 NEAR_DUPLICATES = """
