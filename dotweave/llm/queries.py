@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dotweave.llm import bagminhash, isomedia, lineblocks, mixing, quality, shards, templates, tokencount, toxicity
-from dotweave.llm.common import table
+from dotweave.llm import bagminhash, isomedia, licences, lineblocks, mixing, quality, shards, templates, tokencount, toxicity
+from dotweave.llm.common import cut_lineage, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -53,6 +53,17 @@ def document_path() -> Column:
     return F.concat_ws("/", F.col("source"), F.col("lang"))
 
 
+def document_file() -> Column:
+    """Documents lie in source/language/hundreds of ids."""
+    return F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), F.coalesce(F.expr("doc_id div 100").cast("string"), F.lit("_")), F.coalesce(F.col("doc_id").cast("string"), F.lit("_")))
+
+
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No row of the table is named as a licence file, so a directory takes the licence of the first document below it that declares one."""
+    scanned = cut_lineage(licences.scan(table(spark, sf_dir, "documents"), document_file(), keep=["doc_id"]))
+    return licences.inherit(scanned, licences.first_declared(scanned, "doc_id"))
+
+
 def op9_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), part=training_part())
@@ -64,7 +75,7 @@ def op10_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "source", document_path(), part=training_part())
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op2_mixed_sources, op3_near_duplicates, op4_html_main_text, op5_iso_media, op6_token_counts, op7_benchmark_leaks, op9_toxicity_scores, op10_quality_scores)}
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_mixed_sources, op3_near_duplicates, op4_html_main_text, op5_iso_media, op6_token_counts, op7_benchmark_leaks, op8_licences, op9_toxicity_scores, op10_quality_scores)}
 
 #: Exact weighted Jaccard of all pairs that share a shingle, then components; equal texts are one.
 NEAR_DUPLICATES = """
@@ -122,4 +133,26 @@ FROM leaks l JOIN tokens t ON t.side = 'd' AND t.r = l.d JOIN documents o ON coa
 WHERE l.windows >= greatest(1, least(6, ceil(l.n * 0.5)))
 """.replace("\\\\", "\\").replace("@UNITS@", templates.UNITS)
 
-ORACLES: dict[str, str] = {"op3_near_duplicates": NEAR_DUPLICATES, "op7_benchmark_leaks": BENCHMARK_LEAKS}
+
+def _licences_sql() -> str:
+    idf, other, parts = licences.weights()
+    rows = ", ".join(f"('{w}', {x!r})" for w, x in idf.items())
+    cells = ", ".join(f"({-i}, '{licences.NAMES.get(n, n)}', '{w}', {x!r})" for i, (n, p) in enumerate(parts.items()) for w, x in p.items())
+    return f"""
+WITH idf(word, x) AS (VALUES {rows}), part(rank, licence, word, v) AS (VALUES {cells}),
+docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '_') || '/' || coalesce(lang, '_') || '/' || coalesce(CAST(doc_id // 100 AS VARCHAR), '_') || '/' || coalesce(CAST(doc_id AS VARCHAR), '_') AS path, coalesce(text, '') AS t FROM documents),
+lines AS (SELECT r, row_number() OVER () AS l, line FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '{licences.CUE}')),
+words AS (SELECT r, l, w AS word, count(*) AS n FROM (SELECT r, l, unnest(regexp_split_to_array(lower(line), '[^a-z0-9]+')) AS w FROM lines) WHERE w <> '' GROUP BY ALL),
+norms AS (SELECT r, l, sqrt(sum(power(n * coalesce(x, {other!r}), 2))) AS norm FROM words LEFT JOIN idf USING (word) GROUP BY r, l),
+cosines AS (SELECT r, l, rank, licence, round(sum(n * v) / any_value(norm), 9) AS cosine FROM words JOIN norms USING (r, l) JOIN part USING (word) GROUP BY r, l, rank, licence),
+best AS (SELECT r, max(cosine) AS cosine, arg_max(licence, {{'a': cosine, 'b': rank}}) AS licence FROM cosines GROUP BY r),
+scanned AS (SELECT d.r, doc_id, path, CASE WHEN cosine >= {licences.LEAST} THEN licence END AS own, coalesce(cosine, 0) AS cosine FROM docs d LEFT JOIN best USING (r)),
+up AS (SELECT *, string_split(path, '/') AS p FROM scanned),
+levels AS (SELECT r, k, array_to_string(p[1:k], '/') AS directory, doc_id, own FROM up, (VALUES (1), (2), (3)) AS v(k)),
+directories AS (SELECT directory, arg_min(own, {{'a': doc_id, 'b': own}}) AS licence FROM levels WHERE own IS NOT NULL GROUP BY directory),
+near AS (SELECT r, arg_max({{'d': l.directory, 'licence': d.licence}}, k) AS got FROM levels l JOIN directories d USING (directory) WHERE own IS NULL GROUP BY r)
+SELECT doc_id, path, own, cosine, coalesce(own, got.licence) AS licence, CASE WHEN own IS NULL THEN got.d END AS origin FROM scanned LEFT JOIN near USING (r)
+"""
+
+
+ORACLES: dict[str, str] = {"op3_near_duplicates": NEAR_DUPLICATES, "op7_benchmark_leaks": BENCHMARK_LEAKS, "op8_licences": _licences_sql()}
