@@ -35,7 +35,7 @@ EPOCHS = 8
 BATCH = 64
 RATE = 0.01
 DECAY = 1e-5
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 4_000_000
 TAPS = sum(SIZES) * FILTERS
 EDGE = " \t\r\n.,;:!?\"'()[]{}*#$%&|<>-_/\\"
 
@@ -54,17 +54,24 @@ def _buckets(words: list[str]) -> np.ndarray:
 
 
 def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word code of every word, words of each text, buckets of each code)."""
-    words: list[str] = []
+    """(word code of every word, words of each text, buckets of each code); words are held some texts at a time."""
     sizes = np.zeros(len(texts), np.int64)
+    known: dict[str, int] = {}
+    parts, held = [], 0
+    words: list[str] = []
     for i, text in enumerate(texts):
         own = text.split()
         sizes[i] = len(own)
         words += own
-    if not words:
+        held += len(text)
+        if held > BATCH_CHARS or i + 1 == len(texts):
+            if words:
+                codes, names = pd.factorize(np.array(words, dtype=object))
+                parts.append(np.array([known.setdefault(n, len(known)) for n in names], np.int32)[codes])
+            words, held = [], 0
+    if not parts:
         return np.zeros(0, np.int64), sizes, np.zeros((0, 1 + len(PREFIXES)), np.int64)
-    codes, names = pd.factorize(np.array(words, dtype=object))
-    return codes, sizes, _buckets(list(names))
+    return np.concatenate(parts), sizes, _buckets(list(known))
 
 
 def _responses(taps: np.ndarray, codes: np.ndarray, sizes: np.ndarray, where: bool = False):
@@ -115,8 +122,9 @@ def train(texts: list[str], y: np.ndarray, seed: int = 1, epochs: int = EPOCHS)
     if len(set(y.tolist())) < 2:
         return {"rate": rate}
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    first = np.unique(doc * np.int64(len(buckets)) + codes) % len(buckets)
+    first = np.unique(doc * np.int64(len(buckets)) + codes) % max(len(buckets), 1)
     seen = np.bincount(buckets.ravel(), np.repeat(np.bincount(first, minlength=len(buckets)), buckets.shape[1]), BUCKETS)
+    del doc, first
     known = seen >= LEAST_TEXTS
     known[0] = False
     buckets = np.where(known[buckets], buckets, 0)

@@ -1,0 +1,250 @@
+"""Operators on whole corpora: near-duplicates, leaks, licences, mixing, shards, the pipeline."""
+
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from dotweave.llm import bagminhash, licences, mixing, shards, templates
+
+WORDS = ["".join(random.Random(i).choice("abcdefghijklmnop") for _ in range(6)) for i in range(3000)]
+
+
+def _text(rng, n):
+    return [rng.choice(WORDS) for _ in range(n)]
+
+
+def _bag(text):
+    w = text.split()
+    return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
+
+
+def _jaccard(a, b):
+    both = sum((a & b).values())
+    whole = sum((a | b).values())
+    return both / whole if whole else 1.0
+
+
+def _family_corpus():
+    rng = random.Random(11)
+    texts = []
+    hub = _text(rng, 300)
+    for i in range(70):  # a hub whose copies are unlike one another, in buckets larger than FEW
+        copy = hub[:]
+        for _ in range(1 + i % 9):
+            copy[rng.randrange(300)] = rng.choice(WORDS)
+        texts.append(" ".join(copy))
+    texts.append(" ".join(hub))
+    chain = _text(rng, 200)
+    for _ in range(6):  # each like the one before only
+        chain = chain[:]
+        for _ in range(3):
+            chain[rng.randrange(200)] = rng.choice(WORDS)
+        texts.append(" ".join(chain))
+    passage = _text(rng, 60)
+    texts += [" ".join(_text(rng, 100) + passage + _text(rng, 50)) for _ in range(30)]
+    texts += [" ".join(["la"] * n) for n in (40, 45, 400, 410)] + ["", None, "two words", "two words", "   "]
+    texts += [texts[0]] * 5
+    return texts
+
+
+def _brute(texts):
+    bags = [_bag(t or "") for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            same = (texts[i] or "") == (texts[j] or "")
+            if same or (bags[i] and bags[j] and _jaccard(bags[i], bags[j]) >= 0.8):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("few", [4, 48])
+def test_near_duplicates_match_all_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(bagminhash, "FEW", few)
+    monkeypatch.setattr(bagminhash, "BLOCK", 32)
+    texts = _family_corpus()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("key", F.lit("clash"))
+    got = {r["doc_id"]: r["class_id"] for r in bagminhash.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(texts))] == _brute(texts)
+
+
+def test_keep_one(spark):
+    df = spark.createDataFrame([(2, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (None, "x"), (None, "x"), (None, "y"), (3, None)], "doc_id bigint, text string")
+    assert sorted(map(str, bagminhash.keep_one(df).collect())) == sorted(map(str, spark.createDataFrame([(1, "a b c d e f"), (None, "x"), (None, "y"), (3, None)], df.schema).collect()))
+    assert bagminhash.keep_one(df.where("false")).count() == 0
+
+
+def test_signatures_are_unbiased():
+    rng = random.Random(1)
+    errors = []
+    for k in range(60):
+        words = _text(rng, 200)
+        other = words[:]
+        for _ in range(k % 15):
+            other[rng.randrange(200)] = rng.choice(WORDS)
+        a, b = " ".join(words + ["p q r s t"] * (k % 8)), " ".join(other + ["p q r s t"] * (k % 5))
+        _, times = bagminhash.signatures(*bagminhash.shingles([a, b]), 2)
+        exact = _jaccard(_bag(a), _bag(b))
+        assert abs(bagminhash.jaccards([a], [b])[0] - exact) < 1e-9
+        errors.append((times[0] == times[1]).mean() - exact)
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
+
+
+ITEM = "A train leaves the old station with 12 wagons and Peter counts 7 km of track before the bridge over the wide river"
+
+
+def test_leaks(spark):
+    rng = random.Random(2)
+    fill = lambda: " ".join(_text(rng, 40))
+    docs = [
+        (1, f"{fill()} {ITEM} {fill()}"),
+        (2, f"{fill()}. {ITEM.replace('12', '31').replace('Peter', 'Maria').replace('7 km', '9 miles')} {fill()}"),
+        (3, fill()),
+        (4, f"{fill()} A train leaves the old station with {fill()}"),
+        (5, None),
+        (6, ""),
+        (None, ITEM),
+        (1, f"{fill()} {ITEM.upper()} {fill()}"),
+        (8, f"{fill()} alpha beta gamma delta epsilon"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumns({"item": F.lit(1), "tokens": F.lit("x")})
+    items = spark.createDataFrame([(1, ITEM), (2, None), (3, "one two"), (4, "alpha beta gamma delta epsilon")], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in templates.report(df, items).collect()}
+    assert got == {(1, 1), (2, 1), (None, 1), (8, 4)}
+    clean = templates.remove(df, items)
+    assert clean.columns == df.columns and sorted(r["doc_id"] for r in clean.collect())[:3] == [1, 3, 4] or clean.count() >= 4
+    assert templates.remove(df, items.where("false")).count() == len(docs)
+    assert templates.report(df.where("false"), items).count() == 0
+
+
+def test_slots_must_be_filled_alike(spark):
+    item = "Give 5 red apples and 5 green apples to the kind old man near the gate today"
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, item.replace("5", "9")), (2, item.replace("5 red", "9 red"))], "doc_id bigint, text string")
+    found = {r["key"]: r["conflicts"] for r in templates._matches(docs.select(F.col("text").alias("t")), items, "text", "item_id", "text").collect()}
+    assert sorted(found.values()) == [0, 1]
+
+
+def test_licences(spark):
+    rows = [
+        ("repo/LICENSE", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software. Released under the MIT License."),
+        ("repo/src/a.py", "code"),
+        ("repo/src/b.py", "# Licensed under the Apache License, Version 2.0.\ncode"),
+        ("repo/sub/COPYING", "This work is licensed under the GNU General Public License, version 3."),
+        ("repo/sub/deep/er/c.py", None),
+        ("other/d.py", ""),
+        (None, "All rights reserved."),
+        ("other/e.py", "my driving licence is lost"),
+    ]
+    df = spark.createDataFrame(rows, "path string, text string").withColumn("own", F.lit("clash"))
+    scanned = licences.scan(df, F.col("path")).persist()
+    files = licences.licence_files(scanned, F.col("path").rlike(licences.LICENCE_FILE), "path")
+    got = {r["path"]: (r["licence"], r["origin"]) for r in licences.inherit(scanned, files).collect()}
+    assert got["repo/src/a.py"] == ("MIT", "repo") and got["repo/src/b.py"] == ("Apache-2.0", None)
+    assert got["repo/sub/deep/er/c.py"] == ("GPL-3.0", "repo/sub") and got["other/d.py"] == (None, None) == got["other/e.py"]
+    assert got[None] == ("Proprietary", None) and len(got) == len(rows)
+    assert licences.scan(df.where("false"), F.col("path")).count() == 0
+
+
+def _edf(blocks, weights, period):
+    """Plain slot-by-slot earliest deadline first, phase by phase."""
+    left, done, out = dict(blocks), dict.fromkeys(blocks, 0), []
+    while any(left.values()):
+        slots = mixing.whole_weights({s: weights[s] for s in left if left[s]}, period)
+        n, nth, t = sum(slots.values()), dict.fromkeys(slots, 0), 0
+        while all(left[s] for s in slots):
+            ready = [(-(-(nth[s] + 1) * n // slots[s]), s) for s in slots if nth[s] * n // slots[s] <= t]
+            _, s = min(ready)
+            out.append((s, done[s]))
+            nth[s], done[s], left[s], t = nth[s] + 1, done[s] + 1, left[s] - 1, t + 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_schedule_is_earliest_deadline_first(seed):
+    rng = random.Random(seed)
+    blocks = {f"s{i}": rng.randrange(0, 120) for i in range(rng.randrange(1, 7))}
+    weights = {s: rng.uniform(0.5, 9) for s in blocks}
+    got = {}
+    for s, first, count, base, period, places in mixing.schedule(blocks, weights, 64):
+        for q in range(count):
+            got[base + q // len(places) * period + places[q % len(places)]] = (s, first + q)
+    assert [got[t] for t in range(len(got))] == _edf(blocks, weights, 64)
+
+
+def test_deviation_is_below_one_block():
+    slots = mixing.whole_weights({"a": 0.62, "b": 0.3, "c": 0.05, "d": 0.03}, 256)
+    n, places = sum(slots.values()), mixing.period_slots(slots)
+    for s, at in places.items():
+        counts = np.cumsum(np.isin(np.arange(n), at))
+        assert np.abs(counts - np.arange(1, n + 1) * slots[s] / n).max() < 1
+
+
+def test_mixed_rows_are_whole(spark):
+    rng = random.Random(4)
+    rows = [(i if i % 50 else None, "x" * rng.randrange(0, 400), rng.choice(["hot", "hot", "b", None])) for i in range(500)] + [(7, "same", "b")] * 3
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("slot", F.lit("clash"))
+    out = mixing.mixed(df, block=1000)
+    assert out.columns == df.columns and Counter(map(str, out.collect())) == Counter(map(str, df.collect()))
+    placed = mixing.positions(df.drop("slot"), block=1000).collect()
+    assert len(placed) == len(rows)
+    assert mixing.mixed(df.where("false"), block=1000).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 64, 65, 1000, 4097])
+def test_permutation(size):
+    assert sorted(shards.permute(np.arange(size), size).tolist()) == list(range(size))
+    for window in (1, 7, 64):
+        got = shards.training_slot(np.arange(size), size, window=window)
+        assert sorted(got.tolist()) == list(range(size)) and (got // window == np.arange(size) // window).all()
+
+
+def _path():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def test_shards_hold_the_stream(spark, tmp_path):
+    rng = random.Random(6)
+    texts = [" ".join(_text(rng, rng.randrange(0, 200))) for _ in range(60)] + ["", None, "same", "same"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs"))
+    found = shards.sequences(df, _path(), length=32, per_shard=16).persist()
+    rows = found.collect()
+    encoder = shards._encoding(_path())
+    stream = [t for x in texts for t in [*encoder.encode_ordinary(x or ""), shards.MARK]]
+    size = -(-len(stream) // 32)
+    stream += [shards.MARK] * (size * 32 - len(stream))
+    want = {int(s): stream[32 * i : 32 * i + 32] for i, s in enumerate(shards.permute(np.arange(size), size))}
+    assert {r["slot"]: np.frombuffer(r["ids"], "<u2").tolist() for r in rows} == want and len(rows) == size
+    assert [r["slot"] for r in rows] == sorted(want)
+    made = shards.write_shards(found, str(tmp_path / "out"), length=32).collect()
+    assert sum(r["sequences"] for r in made) == size
+    back = shards.read_range(str(tmp_path / "out"), 5, size, length=32, per_shard=16)
+    assert back.tolist() == [want[s] for s in range(5, size)]
+    assert shards.sequences(df.where("false"), _path()).count() == 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, kept, folder).persist()
+        assert after.columns == docs.columns and 0 < after.count() <= kept.count(), name
+        kept = after
+    out = corpus_pipeline.run(spark, folder)
+    assert out.count() > 0
