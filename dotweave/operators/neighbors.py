@@ -41,7 +41,8 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius: float, dims: Sequenc
         cells = [f"c{k}" for k in range(len(dims))]
         b = b.withColumns({c: F.floor(F.col(d) / radius) for c, d in zip(cells, dims)})
         for c, d in zip(cells, dims):
-            a = a.withColumn(c, F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda o, d=d: F.floor(F.col(d) / radius) + o)))
+            here = F.floor(F.col(d) / radius)
+            a = a.withColumn(c, F.explode(F.array(here - 1, here, here + 1)))
         keys += cells
     elif method != "plain":
         raise ValueError("method: plain, grid or auto")
