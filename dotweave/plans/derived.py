@@ -19,7 +19,7 @@ spots AS (
   SELECT image_id, spot_id, x, y, z, px, condition, gene, label, 1 + i + 8 * j AS tile,
          CASE WHEN i <= 6 AND j <= 3 AND sqrt((x - (15 * i + 7.5)) * (x - (15 * i + 7.5)) + (y - (12.5 * j + 6.25)) * (y - (12.5 * j + 6.25))) <= 2.5 THEN 1 + i + 8 * j ELSE 0 END AS prior
   FROM tiled),
-centroids AS (SELECT image_id, 1 + i + 8 * j AS cell, 15 * i + 7.5 AS x, 12.5 * j + 6.25 AS y, 0.0 AS z FROM (SELECT DISTINCT image_id FROM base), range(7) AS u(i), range(4) AS v(j)),
+centroids AS (SELECT image_id, 1 + i + 8 * j AS cell, CAST(15 * i + 7.5 AS DOUBLE) AS x, CAST(12.5 * j + 6.25 AS DOUBLE) AS y, CAST(0 AS DOUBLE) AS z FROM (SELECT DISTINCT image_id FROM base), range(7) AS u(i), range(4) AS v(j)),
 mask AS (
   SELECT image_id, CAST(label % 3 AS INTEGER) AS z, CAST(yy AS INTEGER) AS y, CAST(xx AS INTEGER) AS x, label FROM (
     SELECT xx, yy, 1 + xx // 15 + 8 * CAST(floor(yy / 12.5) AS BIGINT) AS label FROM range(105) AS a(xx), range(50) AS b(yy)
