@@ -33,12 +33,13 @@ SKIPPED = frozenset("nav footer aside form button dialog menu head label input".
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 # Words in class or id that mark boilerplate wherever they stand, and those that do so outside the article only.
-NOISE = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login related recommended share sharing social comment comments commentlist replies reply disqus respond widget pagination pager toolbar masthead skip".split())
+NOISE = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login related recommended share sharing social comment comments commentlist replies reply reviews feedback disqus respond widget pagination pager toolbar masthead skip".split())
 OUTER_NOISE = frozenset("header head top topbar alert search meta".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z0-9]+")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
 def _noisy(name: str, attributes: str, inside: bool) -> bool:
@@ -46,6 +47,8 @@ def _noisy(name: str, attributes: str, inside: bool) -> bool:
         return True
     if not attributes or name in ("html", "body", "main") or name[0] == "h" and name[1:].isdigit():
         return False
+    if HIDDEN.search(attributes):
+        return True
     for key, a, b, c in ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
         if key.lower() == "role":

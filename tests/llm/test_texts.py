@@ -20,6 +20,8 @@ ARTICLE = "This is a sentence of the article that is long enough to make a surge
         (f"<div class='menu'><a>a</a> <a>b</a></div><div><p>{ARTICLE}</p><p>{ARTICLE}</p><p>End.</p></div><div id=footer>all rights</div>", f"{ARTICLE}\n{ARTICLE}\nEnd."),
         (f"<article><p>{ARTICLE}</p><aside>look</aside><div class=ad>buy</div><form>name</form><p>After.</p></article><section class='comments'><p>{ARTICLE}</p></section>", f"{ARTICLE}\nAfter."),
         (f"<main><script>var t='</p>';</script><style>p{{}}</style><!-- no --><p>a\n  b<br>c&nbsp;d &lt;tag&gt; {ARTICLE}</p></main>", f"a b c d <tag> {ARTICLE}"),
+        (f"<div><p>{ARTICLE}</p><p style='display: none'>secret</p><span hidden>secret</span><p class=\"not-hidden-here\">{ARTICLE}</p></div>", f"{ARTICLE}\n{ARTICLE}"),
+        (f"<table><tr><td><a href=1>one</a></td><td><a href=2>two</a></td></tr></table><h1>Head</h1><p>{ARTICLE}</p><ul><li>first<li>second</ul>", f"Head\n{ARTICLE}\nfirst\nsecond"),
         ("<p>tiny</p>", "tiny"),
         (f"<article><p>{ARTICLE}</p></article><footer>cut &am", ARTICLE),
         ("", ""),
