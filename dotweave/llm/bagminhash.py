@@ -183,8 +183,8 @@ def _least(similarity: float) -> float:
     return similarity - SLACK * (similarity * (1 - similarity) / SIZE) ** 0.5
 
 
-def _close(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts have the similarity, after a look at their signatures."""
+def _close(pairs: DataFrame, nodes: DataFrame, similarity: float, look: bool = True) -> DataFrame:
+    """The pairs (a, b) whose texts have the similarity, after a look at their signatures where that is still to be taken."""
     least = _least(similarity)
 
     def likely(batches):
@@ -202,8 +202,9 @@ def _close(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
 
     kind = nodes.schema["key"].dataType.simpleString()
     sigs, texts = nodes.select("key", "sig"), nodes.select("key", "body")
-    look = pairs.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(likely, f"a {kind}, b {kind}")
-    read = look.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(sure, f"a {kind}, b {kind}")
+    if look:
+        pairs = pairs.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(likely, f"a {kind}, b {kind}")
+    read = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(sure, f"a {kind}, b {kind}")
     return cut_lineage(read)
 
 
@@ -316,10 +317,14 @@ def classes(df: DataFrame, id: str = "doc_id", text: str = "text", similarity: f
     dealt = dealt.select("h", "band", "key", "root", "sig", "elements", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
     dealt = dealt.withColumns({"i": F.least("block", F.col("other").cast("bigint")), "j": F.greatest("block", F.col("other").cast("bigint"))}).drop("other")
     joined = dealt.groupBy("h", "i", "j").applyInPandas(lambda rows: _links(similarity)(rows), "a binary, b binary")
-    more = _close(cut_lineage(late.union(joined).distinct()), known, similarity)
-
-    roots = components(links.union(more)).withColumnRenamed("node", "key")
-    every = nodes.select("key", "id", "copies").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    more = _close(cut_lineage(late.union(joined).distinct()), known, similarity, look=False)
+
+    # What is found late joins components, not nodes.
+    a, b = roots.toDF("a", "ra"), roots.toDF("b", "rb")
+    between = more.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    last = components(between).toDF("root", "last")
+    every = nodes.select("key", "id", "copies").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    every = every.join(last, "root", "left").select("key", "id", "copies", F.coalesce("last", "root").alias("root"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
     sizes = every.groupBy("root").agg(first.alias("first"), F.sum("copies").alias("class_size"))
     return every.select("key", "root").join(sizes, "root").select("key", F.col("first.id").alias("class_id"), "class_size", (F.col("key") == F.col("first.key")).alias("chosen"))
