@@ -174,7 +174,7 @@ def deterministic_sample(spark, sf):
 
 
 def _edges(spark, sf, spots=None):
-    spots = spots if spots is not None else derived.spots(spark, sf)
+    spots = spots if spots is not None else settle(derived.spots(spark, sf))
     return graph.spot_graph(spots, settle(_coexpr(spark, sf)), 10, derived.RADIUS)
 
 
@@ -437,7 +437,7 @@ def landmark_edges(spark, sf):
 
 
 def _contracted(spark, sf):
-    spots, centres = derived.spots(spark, sf), derived.centroids(spark, sf)
+    spots, centres = settle(derived.spots(spark, sf)), derived.centroids(spark, sf)
     points = neighbors.as_points(spots)
     near = neighbors.knn(points, points, 10, derived.RADIUS)
     links = landmark.landmark_edges(spots, centres)
@@ -516,6 +516,7 @@ def union_images(spark, sf):
 
 def _outlined(spark, sf):
     assigned, centres = _assigned(spark, sf)
+    assigned = settle(assigned)
     kept = settle(cells.cell_genes(assigned, centres)).select("image_id", "cell").distinct()
     return assigned.where("cell_index_pred > 0").select("image_id", F.col("cell_index_pred").alias("cell"), "x", "y").join(kept, ["image_id", "cell"])
 
