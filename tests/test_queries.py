@@ -11,7 +11,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"louvain_plain", "shortest_path_joins"}
+SLOW = {"louvain_plain", "shortest_path_joins", "cell_polygons_json", "union_images", "cell_gene_counts"}
 
 
 @pytest.fixture(scope="module")
