@@ -6,7 +6,10 @@ placeholders; other words are lower-cased and stripped of punctuation. Windows o
 the templates of a benchmark are joined by hash with those of the documents, so a
 question with other numbers or names still meets its source. What stands in a
 slot of the question must then be replaced alike everywhere: one value of the
-item, one value of the document. Windows without slots need no such check.
+item, one value of the document. Every occurrence of a window counts: slots are
+checked over the first ones of the whole document, along each unbroken copy and in
+bands of neighbouring ones, and the best of these is reported. Windows without slots,
+or with the item's own values in them, need no such check.
 
 A document leaks an item if enough of the item's windows are found in it: half of
 them, or as many as thirteen words in a row give.
@@ -88,7 +91,7 @@ def _benchmark(items: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def _matches(df: DataFrame, items: DataFrame, text: str, item_id: str, item_text: str) -> DataFrame:
-    """One row for each (text key, item) that share a window: windows found, of how many, slots and slots filled in two ways."""
+    """One row for each (text key, item) that share a window: windows found, of how many, slots and slots filled in two ways, where most windows are found."""
     bench = cut_lineage(_benchmark(items, item_id, item_text))
     lengths = [r[0] for r in bench.select("k").distinct().orderBy("k").collect()] or [WINDOW]  # at most WINDOW - SHORTEST + 1 numbers
     rows = bench.count()
@@ -97,20 +100,32 @@ def _matches(df: DataFrame, items: DataFrame, text: str, item_id: str, item_text
     windows = _windows(_templates(_with_tokens(source, "t"), plain=False), lengths, ["key"])
     thin = bench.select(F.col("h").alias("bh"), F.col("k").alias("bk"), "item", "row", "n", F.col("at").alias("iat"), "slots")
     met = windows.join(send(thin), (F.col("h") == F.col("bh")) & (F.col("k") == F.col("bk")))
-    met = cut_lineage(met.groupBy("key", "item", "row", "n", "iat", "slots").agg(F.min("at").alias("at")))
+    met = cut_lineage(met.select("key", "item", "row", "n", "iat", "slots", "at").distinct())
 
     # What fills the slots, for the texts that have any: read again, as they are few.
     slotted = met.where("slots > 0")
     filled = source.join(slotted.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
     filled = _templates(_with_tokens(filled, "t"), plain=True).select("key", "plain")
     ours = bench.where("slots > 0").select("row", F.col("at").alias("iat"), F.col("plain").alias("iplain"), "slot", "k")
-    pairs = slotted.join(filled, "key").join(ours, ["row", "iat"]).select("key", "row", F.explode(F.expr("filter(zip_with(arrays_zip(iplain, slot), slice(plain, at + 1, k), (x, p) -> struct(x.iplain AS theirs, x.slot AS slot, p AS ours)), x -> x.slot)")).alias("x"))
-    values = pairs.groupBy("key", "row", F.col("x.theirs").alias("v")).agg((F.min("x.ours") != F.max("x.ours")).alias("two"))
-    checked = values.groupBy("key", "row").agg(F.count(F.lit(1)).alias("slot_values"), F.count_if("two").alias("conflicts"))
-
-    found = met.groupBy("key", "item", "row", "n").agg(F.count(F.lit(1)).alias("found"), F.count_if(F.col("slots") == 0).alias("literal"))
-    found = found.join(checked, ["key", "row"], "left").fillna(0, ["slot_values", "conflicts"])
-    return found.withColumn("windows", F.when(F.col("conflicts") == 0, F.col("found")).otherwise(F.col("literal")))
+    fills = "transform(filter(arrays_zip(iplain, slot, p), x -> x.slot), x -> struct(x.iplain AS theirs, x.p AS ours))"
+    read = slotted.join(filled, "key").join(ours, ["row", "iat"]).withColumn("p", F.expr("slice(plain, at + 1, k)")).select("key", "item", "row", "n", "iat", "at", F.expr(fills).alias("fills"))
+    bare = met.where("slots = 0").select("key", "item", "row", "n", "iat", "at", F.expr("CAST(array() AS array<struct<theirs: string, ours: string>>)").alias("fills"))
+    own = F.expr("forall(fills, x -> x.theirs = x.ours)")
+    # The whole text, the line of an unbroken copy, and two rows of bands that hold copies with words put in or left out.
+    line, band = "CAST(at - iat AS bigint)", f"2 * (n + {WINDOW})"
+    scopes = f"array(struct(0 AS scope, 0L AS place), struct(1 AS scope, {line} AS place), struct(2 AS scope, floor({line} / ({band})) AS place), struct(3 AS scope, floor(({line} + n + {WINDOW}) / ({band})) AS place))"
+    each = read.unionByName(bare).select("*", own.alias("own"), F.explode(F.expr(scopes)).alias("s")).select("key", "item", "row", "n", "iat", "at", "fills", "own", "s.*")
+    each = each.groupBy("key", "item", "row", "n", "scope", "place", "iat").agg(F.min_by("fills", "at").alias("fills"), F.bool_or("own").alias("own"))
+    each = cut_lineage(each)
+    pairs = each.select("key", "row", "scope", "place", F.explode("fills").alias("x"))
+    values = pairs.groupBy("key", "row", "scope", "place", F.col("x.theirs").alias("v")).agg((F.min("x.ours") != F.max("x.ours")).alias("two"))
+    checked = values.groupBy("key", "row", "scope", "place").agg(F.count(F.lit(1)).alias("slot_values"), F.count_if("two").alias("conflicts"))
+
+    found = each.groupBy("key", "item", "row", "n", "scope", "place").agg(F.count(F.lit(1)).alias("found"), F.count_if("own").alias("literal"))
+    found = found.join(checked, ["key", "row", "scope", "place"], "left").fillna(0, ["slot_values", "conflicts"])
+    found = found.withColumn("windows", F.when(F.col("conflicts") == 0, F.col("found")).otherwise(F.col("literal")))
+    best = F.max(F.struct("windows", (-F.col("scope")).alias("s"), (-F.col("place")).alias("p"), "slot_values", "conflicts")).alias("b")
+    return found.groupBy("key", "item", "row", "n").agg(best).select("key", "item", "row", "n", "b.windows", "b.slot_values", "b.conflicts")
 
 
 def leaks(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

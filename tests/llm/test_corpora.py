@@ -135,6 +135,20 @@ def test_slots_must_be_filled_alike(spark):
     assert sorted(found.values()) == [0, 1]
 
 
+def test_leak_behind_a_sibling_question(spark):
+    rng = random.Random(8)
+    item = "Give 5 red apples and 7 green pears to the kind old man near gate 3 of the 9 gates before 4 in the cold morning of day 8"
+    other = item.replace("5", "50").replace("7", "70").replace("3", "30").replace("9", "90").replace("4", "40").replace("8", "80")
+    sibling = "give 11 red apples and 12 green pears to a dog"  # shares windows, with other values
+    far = lambda: " ".join(_text(rng, 200))
+    broken = " ".join(w + (" well" if i == 14 else "") for i, w in enumerate(other.split()))
+    docs = [(1, f"{sibling} {far()} {item}"), (2, f"{sibling} {far()} {other}"), (3, f"{sibling} {far()} {broken}"), (4, f"{sibling} {far()}"), (5, f"{sibling} {other}")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["windows"], r["item_windows"]) for r in templates.report(df, spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()}
+    n = got[1][1]
+    assert set(got) == {1, 2, 3, 5} and min(got[i][0] for i in (1, 2, 5)) >= n - 1 and 6 <= got[3][0] < n
+
+
 def test_licences(spark):
     rows = [
         ("repo/LICENSE", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software. Released under the MIT License."),
