@@ -14,6 +14,12 @@ or with the item's own values in them, need no such check.
 A document leaks an item if enough of the item's windows are found in it: half of
 them, or as many as thirteen words in a row give.
 
+Texts are read in three ways, and a leak by any of them is one: as above; as plain
+lower-cased words, so case and sentence ends do not matter; and with each capitalised
+word that is no function word as a name wherever it stands, runs of names as one and
+numbers in words as numbers. Names that a re-parameterised copy writes in lower case
+are not recognised.
+
 Edge cases: null and empty texts have no windows; an item shorter than a window
 is one window of its own length, matched against windows of that length, if it
 has at least ``SHORTEST`` words; windows with fewer than ``LITERAL`` plain words
@@ -48,28 +54,50 @@ def _with_tokens(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("raw", F.expr(f"filter(split({text}, '\\\\s+'), w -> w <> '')"))
 
 
-# Of word w at i: is it a number, a name; its plain form. A name follows a word that doesn't end a sentence.
 PLAIN = f"lower(regexp_replace(w, '{STRIP}', ''))"
-KIND = f"""CASE
-  WHEN w RLIKE '[0-9]' THEN '{NUMBER}'
-  WHEN i > 0 AND w RLIKE '^[^\\\\p{{L}}\\\\p{{N}}]*\\\\p{{Lu}}\\\\p{{Ll}}' AND NOT raw[i - 1] RLIKE '[.!?:|]["\\')\\\\]]*$' THEN '{NAME}'
-  WHEN i > 0 AND raw[i - 1] RLIKE '[0-9]' AND array_contains(split('{UNITS}', ' '), {PLAIN}) THEN '{UNIT}'
-  ELSE {PLAIN} END"""
+#: The readings of a text, in the order in which they are reported.
+READINGS = ("templates", "plain words", "names anywhere")
+# Fixed values of the third reading: words that are no names though they are capitalised, and numbers in words.
+FUNCTION = "a an the this that these those some any each every all both no not if when while after before because since until although though as at by for from in into of on onto over to under with without within about between during through and or but nor so yet then than there here he she it they we you i his her its their our your my him them us me who whom whose what which where why how is are was were be been being am do does did has have had can could will would shall should may might must let suppose given find calculate determine compute solve show prove answer question problem example solution note explain describe consider how many much more most"
+NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
+
+
+def _in(word: str, words: str) -> str:
+    return f"{word} IN ({', '.join(repr(w) for w in sorted(set(words.split())))})"
+
+
+# Of word x at i: t, where a name follows a word that doesn't end a sentence, and m, where what a word is does not depend on the sentence around it.
+BEFORE = "words[i - 1]"
+KINDS = f"""struct(x.p AS p, CASE
+  WHEN x.d THEN '{NUMBER}'
+  WHEN i > 0 AND x.c AND NOT {BEFORE}.w RLIKE '[.!?:|]["\\')\\\\]]*$' THEN '{NAME}'
+  WHEN i > 0 AND {BEFORE}.d AND {_in('x.p', UNITS)} THEN '{UNIT}'
+  ELSE x.p END AS t, CASE
+  WHEN x.d OR {_in('x.p', NUMBERS)} THEN '{NUMBER}'
+  WHEN x.c AND NOT {_in('x.p', FUNCTION)} THEN '{NAME}'
+  WHEN i > 0 AND {_in('x.p', UNITS)} AND ({BEFORE}.d OR {_in(BEFORE + '.p', NUMBERS)}) THEN '{UNIT}'
+  ELSE x.p END AS m)"""
 SLOTS = f"('{NUMBER}', '{NAME}', '{UNIT}')"
 
 
 def _templates(df: DataFrame, plain: bool) -> DataFrame:
-    """Replaces ``raw`` by ``tokens`` (the template) and, if asked, ``plain`` (the words behind it), both without bare punctuation."""
-    if not plain:
-        return df.withColumn("tokens", F.expr(f"filter(transform(raw, (w, i) -> {KIND}), t -> t <> '')")).drop("raw")
-    both = df.withColumn("both", F.expr(f"filter(transform(raw, (w, i) -> struct({KIND} AS t, {PLAIN} AS p)), x -> x.t <> '')"))
-    return both.withColumn("tokens", F.expr("transform(both, x -> x.t)")).withColumn("plain", F.expr("transform(both, x -> x.p)")).drop("both", "raw")
+    """Replaces ``raw`` by ``tokens`` (of each reading) and, if asked, ``plain`` (the words behind them), both without bare punctuation."""
+    cap = r"'^[^\\p{L}\\p{N}]*\\p{Lu}\\p{Ll}'"
+    words = df.withColumn("words", F.expr(f"transform(raw, w -> struct(w AS w, {PLAIN} AS p, w RLIKE '[0-9]' AS d, w RLIKE {cap} AS c))")).drop("raw")
+    kinds = words.withColumn("kinds", F.expr(f"filter(transform(words, (x, i) -> {KINDS}), x -> x.t <> '')")).drop("words")
+    # Of a run of names the first stands for all.
+    later = f"(x.m = '{NAME}' AND i > 0 AND kinds[i - 1].m = '{NAME}')"
+    out = kinds.withColumn("tokens", F.expr(f"array(transform(kinds, x -> x.t), transform(kinds, x -> x.p), transform(filter(kinds, (x, i) -> NOT {later}), x -> x.m))"))
+    if plain:
+        runs = f"split(substring(array_join(transform(kinds, (x, i) -> concat(CASE WHEN {later} THEN '_' ELSE ' ' END, x.p)), ''), 2), ' ')"
+        out = out.withColumn("plain", F.expr(f"array(transform(kinds, x -> x.p), transform(kinds, x -> x.p), {runs})"))
+    return out.drop("kinds")
 
 
 def _windows(df: DataFrame, lengths: list[int], keep: list[str]) -> DataFrame:
-    """One row a window of each length: ``keep``, its place and the hash of its length and tokens. Words are hashed once each."""
-    hashed = df.withColumn("hs", F.expr("transform(tokens, t -> xxhash64(t))"))
-    each = [f"transform(sequence(0, size(hs) - {k}), i -> struct(i AS at, {k} AS k, xxhash64({k}, slice(hs, i + 1, {k})) AS h))" for k in lengths]
+    """One row a window of each reading and length: ``keep``, its place and the hash of its reading, length and tokens. Words are hashed once each."""
+    hashed = df.select(*keep, F.posexplode(F.expr("transform(tokens, r -> transform(r, t -> xxhash64(t)))")).alias("reading", "hs"))
+    each = [f"transform(sequence(0, size(hs) - {k}), i -> struct(i AS at, {k} AS k, xxhash64(reading, {k}, slice(hs, i + 1, {k})) AS h))" for k in lengths]
     sets = [f"CASE WHEN size(hs) >= {k} THEN {e} END" for k, e in zip(lengths, each)]
     if len(sets) > 1:
         sets = [f"coalesce({e}, array())" for e in sets]
@@ -80,10 +108,11 @@ def _windows(df: DataFrame, lengths: list[int], keep: list[str]) -> DataFrame:
 def _benchmark(items: DataFrame, id: str, text: str) -> DataFrame:
     """Windows of the items: item, n (windows of the item), at, k, h and what fills each slot; without those that are mostly slots."""
     own = items.select(F.col(f"`{id}`").alias("item"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
-    own = _templates(_with_tokens(own, "t"), plain=True).where(F.size("tokens") >= SHORTEST)
+    own = _templates(_with_tokens(own, "t"), plain=True).select("item", "row", F.posexplode(F.arrays_zip("tokens", "plain")).alias("reading", "x"))
+    own = own.select("item", (F.col("row") * len(READINGS) + F.col("reading")).alias("row"), "reading", "x.tokens", "x.plain").where(F.size("tokens") >= SHORTEST)
     k = F.least(F.size("tokens"), F.lit(WINDOW))
     own = own.withColumn("k", k).withColumn("hs", F.expr("transform(tokens, t -> xxhash64(t))"))
-    own = own.withColumn("w", F.expr("transform(sequence(0, size(hs) - k), i -> struct(i AS at, xxhash64(k, slice(hs, i + 1, k)) AS h, slice(tokens, i + 1, k) AS tokens, slice(plain, i + 1, k) AS plain))"))
+    own = own.withColumn("w", F.expr("transform(sequence(0, size(hs) - k), i -> struct(i AS at, xxhash64(reading, k, slice(hs, i + 1, k)) AS h, slice(tokens, i + 1, k) AS tokens, slice(plain, i + 1, k) AS plain))"))
     own = own.withColumn("w", F.expr(f"filter(w, x -> size(filter(x.tokens, t -> t NOT IN {SLOTS})) >= {LITERAL})"))
     own = own.withColumn("n", F.size("w")).where("n > 0")
     out = own.select("item", "row", "n", "k", F.explode("w").alias("x")).select("item", "row", "n", "k", "x.at", "x.h", "x.plain", F.expr(f"transform(x.tokens, t -> t IN {SLOTS})").alias("slot"))
@@ -108,7 +137,7 @@ def _matches(df: DataFrame, items: DataFrame, text: str, item_id: str, item_text
     filled = _templates(_with_tokens(filled, "t"), plain=True).select("key", "plain")
     ours = bench.where("slots > 0").select("row", F.col("at").alias("iat"), F.col("plain").alias("iplain"), "slot", "k")
     fills = "transform(filter(arrays_zip(iplain, slot, p), x -> x.slot), x -> struct(x.iplain AS theirs, x.p AS ours))"
-    read = slotted.join(filled, "key").join(ours, ["row", "iat"]).withColumn("p", F.expr("slice(plain, at + 1, k)")).select("key", "item", "row", "n", "iat", "at", F.expr(fills).alias("fills"))
+    read = slotted.join(filled, "key").join(ours, ["row", "iat"]).withColumn("p", F.expr(f"slice(plain[CAST(row % {len(READINGS)} AS int)], at + 1, k)")).select("key", "item", "row", "n", "iat", "at", F.expr(fills).alias("fills"))
     bare = met.where("slots = 0").select("key", "item", "row", "n", "iat", "at", F.expr("CAST(array() AS array<struct<theirs: string, ours: string>>)").alias("fills"))
     own = F.expr("forall(fills, x -> x.theirs = x.ours)")
     # The whole text, the line of an unbroken copy, and two rows of bands that hold copies with words put in or left out.
@@ -125,15 +154,21 @@ def _matches(df: DataFrame, items: DataFrame, text: str, item_id: str, item_text
     found = found.join(checked, ["key", "row", "scope", "place"], "left").fillna(0, ["slot_values", "conflicts"])
     found = found.withColumn("windows", F.when(F.col("conflicts") == 0, F.col("found")).otherwise(F.col("literal")))
     best = F.max(F.struct("windows", (-F.col("scope")).alias("s"), (-F.col("place")).alias("p"), "slot_values", "conflicts")).alias("b")
-    return found.groupBy("key", "item", "row", "n").agg(best).select("key", "item", "row", "n", "b.windows", "b.slot_values", "b.conflicts")
+    found = found.groupBy("key", "item", "row", "n").agg(best).select("key", "item", "row", "n", "b.*")
+    # Of the readings the first that shows a leak.
+    first = F.max(F.struct((F.col("windows") >= _need()).alias("leak"), (-(F.col("row") % len(READINGS))).alias("reading"), "n", "windows", "slot_values", "conflicts")).alias("b")
+    return found.groupBy("key", "item", F.floor(F.col("row") / len(READINGS)).alias("row")).agg(first).select("key", "item", "row", "b.n", "b.windows", "b.slot_values", "b.conflicts")
+
+
+def _need():
+    return F.greatest(F.lit(1), F.least(F.lit(ENOUGH), F.ceil(F.col("n") * SHARE)))
 
 
 def leaks(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item, windows, item_windows, slot_values, conflicts) for every different text and item that it leaks."""
     source = df.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
     met = _matches(source, items, text, item_id, item_text)
-    need = F.greatest(F.lit(1), F.least(F.lit(ENOUGH), F.ceil(F.col("n") * SHARE)))
-    return met.where(F.col("windows") >= need).select("key", "item", F.col("windows"), F.col("n").cast("bigint").alias("item_windows"), "slot_values", "conflicts")
+    return met.where(F.col("windows") >= _need()).select("key", "item", F.col("windows"), F.col("n").cast("bigint").alias("item_windows"), "slot_values", "conflicts")
 
 
 def _key(text: str):

@@ -149,6 +149,19 @@ def test_leak_behind_a_sibling_question(spark):
     assert set(got) == {1, 2, 3, 5} and min(got[i][0] for i in (1, 2, 5)) >= n - 1 and 6 <= got[3][0] < n
 
 
+def test_names_are_names_anywhere(spark):
+    items = [
+        (1, "What is the capital of Burkina"),
+        (2, "Alice has 5 apples in a bag. Alice gives 2 apples to Bob at noon. Bob eats them all. Alice now counts what is left of the fruit."),
+        (3, "In which year did the famous Peter move from York to the coast of the northern sea for good"),
+    ]
+    a = items[1][1].replace("Alice", "Mary Ann").replace("Bob", "Tom").replace("5", "eight").replace("2", "three")
+    docs = [(1, "Question 12 What is the capital of Burkina"), (2, f"so it goes. {a}"), (3, f"x {items[2][1].lower()} y"), (4, "So we read. " + items[2][1].replace("York", "New York").replace("Peter", "Jean Paul")), (5, "What is the river of Burkina")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in templates.report(df, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 3)}
+
+
 def test_licences(spark):
     rows = [
         ("repo/LICENSE", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software. Released under the MIT License."),
