@@ -1,7 +1,10 @@
 """Licence scans, in DataFrame functions only.
 
 Header lines that speak of a licence, or whole licence files, become sparse
-TF-IDF vectors; their cosine with each known template names the licence. A file
+TF-IDF vectors; their cosine with each known template names the licence. An SPDX
+identifier says it outright. Where no line does, neighbouring comment and cue lines
+are joined into one vector and compared with the wording of whole headers, words
+that no header has weighing little. A file
 without one of its own inherits from the nearest directory above it that has a
 licence file, by joins of directory paths.
 
@@ -40,6 +43,39 @@ TEMPLATES = {
 NAMES = {"MIT-short": "MIT"}
 CUE = "(?i)licen[cs]|copyright|spdx|public domain|rights reserved|released under"
 LICENCE_FILE = "(?i)(^|/)(licen[cs]e|copying|notice)([.-][^/]*)?$"
+#: The wording of whole headers; what follows a slash tells several of one licence apart.
+_GNU = "This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {name}General Public License as published by the Free Software Foundation, either version {n} of the License, or (at your option) any later version."
+_WARRANTY = " This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name}General Public License for more details. You should have received a copy of the GNU {name}General Public License along with this {what}. If not, see http://www.gnu.org/licenses/"
+_APACHE = "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy"
+_MIT_ALL = " of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+_AS_IS = ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_ALL = " Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_NEITHER = " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_DISCLAIMER = ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_KINDS = {"GPL-3.0": ("program", "", "3"), "GPL-2.0": ("program", "", "2"), "LGPL-3.0": ("library", "Lesser ", "3"), "LGPL-2.1": ("library", "Lesser ", "2.1"), "AGPL-3.0": ("program", "Affero ", "3")}
+HEADERS = {
+    "Apache-2.0": _APACHE,
+    "Apache-2.0/all": _APACHE + ' Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "MIT": _MIT,
+    "MIT/grant": _MIT + _MIT_ALL,
+    "MIT/all": _MIT + _MIT_ALL + " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software." + _AS_IS,
+    "BSD-3-Clause": _BSD,
+    "BSD-2-Clause/all": _BSD + _BSD_ALL + _DISCLAIMER,
+    "BSD-3-Clause/all": _BSD + _BSD_ALL + _NEITHER + _DISCLAIMER,
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Proprietary": "Copyright (c). All rights reserved.",
+} | {f"{k}{end}": (_GNU + more).format(what=what, name=name, n=n) for k, (what, name, n) in _KINDS.items() for end, more in (("", ""), ("/all", _WARRANTY))}
+#: What a word that no header has weighs.
+STRANGE = 0.3
+#: Lines that may belong to a header: comments, lines without words, and lines with words that headers are made of.
+HEADER_CUE = CUE + "|permission|redistribut|warrant|merchantab|gnu |apache|mozilla|free software|unencumbered|liab"
+COMMENT = r"^\\s*(#|//|/\\*|\\*|--|;|%|<!--|REM )|^[^A-Za-z0-9]*$"
+#: An identifier, or several joined by operators.
+SPDX = r"SPDX-License-Identifier:[ \\t(]*([A-Za-z0-9.+-]+([ ()]+(?:OR|AND|WITH)[ ()]+[A-Za-z0-9.+-]+)*)"
 SMALL = 100_000
 LEAST = 0.6
 
@@ -65,11 +101,12 @@ def _map(values: dict[str, float]) -> str:
     return f"map({', '.join(f'{w!r}, {x!r}D' for w, x in values.items())})"
 
 
-def _best(templates: dict[str, str]) -> str:
+def _best(templates: dict[str, str], other: float | None = None) -> str:
     """SQL: for an array of words ``ws``, the struct (cosine, rank, licence) of the best template."""
-    idf, other, parts = weights(templates)
+    idf, rare, parts = weights(templates)
+    other = rare if other is None else other
     norm = f"sqrt(aggregate(array_distinct(ws), 0D, (a, w) -> a + power(size(filter(ws, x -> x = w)) * coalesce(element_at({_map(idf)}, w), {other!r}D), 2)))"
-    table = ", ".join(f"struct({-i} AS rank, {NAMES.get(name, name)!r} AS licence, {_map(part)} AS part)" for i, (name, part) in enumerate(parts.items()))
+    table = ", ".join(f"struct({-i} AS rank, {NAMES.get(name, name).split('/')[0]!r} AS licence, {_map(part)} AS part)" for i, (name, part) in enumerate(parts.items()))
     dot = "aggregate(ws, 0D, (a, w) -> a + coalesce(element_at(t.part, w), 0D))"
     return f"array_max(transform(array({table}), t -> struct(round({dot} / {norm}, 9) AS cosine, t.rank AS rank, t.licence AS licence)))"
 
@@ -83,11 +120,18 @@ def scan(df: DataFrame, path: Column, text: str = "text", keep: list[str] | None
     source = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep or [])], path.alias("path"), body.alias("body"), (F.coalesce(whole, F.lit(False)) if whole is not None else F.coalesce(path.rlike(LICENCE_FILE), F.lit(False))).alias("file"))
     lines = f"CASE WHEN file THEN array(body) ELSE filter(split(body, '\\n'), l -> l RLIKE '{CUE}') END"
     words = F.expr(f"transform({lines}, l -> filter(split(lower(l), '[^a-z0-9]+'), w -> w <> ''))")
-    found = source.withColumn("lines", words).drop("body")
+    found = source.withColumn("lines", words)
     best = F.expr(f"array_max(transform(filter(lines, ws -> size(ws) > 0), ws -> {_best(templates)}))")
-    out = found.withColumn("best", best)
-    own = F.when(F.col("best.cosine") >= least, F.col("best.licence"))
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep or [])], "path", own.alias("own"), F.coalesce("best.cosine", F.lit(0.0)).alias("cosine"))
+    out = found.withColumn("best", best).withColumn("spdx", F.expr(f"regexp_replace(regexp_replace(regexp_extract(body, '{SPDX}', 1), '(-only|-or-later|[+])(?![A-Za-z0-9])', ''), '[ ()]+', ' ')"))
+    # Headers over several lines, for the files that nothing else decides.
+    runs = f"CASE WHEN coalesce(best.cosine, 0) >= {least} OR spdx <> '' OR NOT body RLIKE '{HEADER_CUE}' THEN array() WHEN file THEN array(body) ELSE filter(split(array_join(transform(split(body, '\\n'), l -> CASE WHEN l RLIKE '{HEADER_CUE}' OR l RLIKE '{COMMENT}' THEN l ELSE '\\n' END), ' '), '\\n'), l -> l RLIKE '{HEADER_CUE}') END"
+    blocks = F.expr(f"transform({runs}, l -> filter(split(lower(l), '[^a-z0-9]+'), w -> w <> ''))")
+    header = F.expr(f"array_max(transform(blocks, ws -> {_best(HEADERS, STRANGE)}))")
+    out = out.withColumn("blocks", blocks).withColumn("header", header)
+    told = F.when(F.col("spdx") != "", F.struct(F.lit(1.0).alias("cosine"), F.col("spdx").alias("licence"))).when(F.col("header.cosine") >= least, F.struct("header.cosine", "header.licence")).otherwise(F.struct("best.cosine", "best.licence"))
+    out = out.withColumn("told", told)
+    own = F.when(F.col("told.cosine") >= least, F.col("told.licence"))
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep or [])], "path", own.alias("own"), F.coalesce("told.cosine", F.lit(0.0)).alias("cosine"))
 
 
 def _parent(path: str) -> str:

@@ -183,6 +183,28 @@ def test_licences(spark):
     assert licences.scan(df.where("false"), F.col("path")).count() == 0
 
 
+def test_ordinary_licence_headers(spark):
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version {} of the License, or\n# (at your option) any later version.\nimport os"
+    apache = '// Copyright 2019 Foo\n//\n// Licensed under the Apache License, Version 2.0 (the "License");\n// you may not use this file except in compliance with the License.\n// You may obtain a copy of the License at\n//\n//     http://www.apache.org/licenses/LICENSE-2.0\nint x;'
+    cases = {
+        "Permission is hereby granted, free of charge, to any person obtaining a copy": "MIT",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that": "BSD-3-Clause",
+        "/* SPDX-License-Identifier: MIT */": "MIT",
+        "# SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+        "# SPDX-License-Identifier: GPL-3.0-or-later\n# All rights reserved.": "GPL-3.0",
+        "# SPDX-License-Identifier: (MIT OR Apache-2.0)": "MIT OR Apache-2.0",
+        "Copyright (c) 2020 Foo Bar. All rights reserved.": "Proprietary",
+        gpl.format(3): "GPL-3.0",
+        gpl.format(2): "GPL-2.0",
+        apache: "Apache-2.0",
+        "we talk of a licence to fish and of copyright in general, and of free software too": None,
+        "# a comment\n# on permission bits of files\nx = 1": None,
+    }
+    df = spark.createDataFrame([(f"r/{i}.py", t) for i, t in enumerate(cases)], "path string, text string")
+    got = {r["path"]: r["own"] for r in licences.scan(df, F.col("path")).collect()}
+    assert [got[f"r/{i}.py"] for i in range(len(cases))] == list(cases.values())
+
+
 def _edf(blocks, weights, period):
     """Plain slot-by-slot earliest deadline first, phase by phase."""
     left, done, out = dict(blocks), dict.fromkeys(blocks, 0), []
