@@ -239,6 +239,23 @@ def test_deviation_is_below_one_block():
         assert np.abs(counts - np.arange(1, n + 1) * slots[s] / n).max() < 1
 
 
+def test_deviation_from_the_weights_asked_for():
+    weights = {"a": 0.61803, "b": 0.3, "c": 0.08196, "d": 1e-5}
+    phases = mixing.schedule(dict.fromkeys(weights, 10**5), weights)
+    n = len(phases[0][5]) + sum(len(p[5]) for p in phases[1:4])
+    for s, first, count, base, period, places in phases[:4]:
+        counts = np.cumsum(np.isin(np.arange(n), places))
+        assert (base, count) == (0, len(places)) and np.abs(counts - np.arange(1, n + 1) * weights[s] / sum(weights.values())).max() < 1 + 1e-6
+
+
+def test_more_sources_than_the_driver_schedules(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 8)
+    df = spark.createDataFrame([(i, "x" * 50, f"s{i % 40}" if i % 3 else "big") for i in range(900)], "doc_id bigint, text string, source string")
+    for weights in (None, {"big": 3.0, "s1": 2.0}):
+        assert sorted(r["doc_id"] for r in mixing.positions(df, weights=weights, block=200).collect()) == list(range(900))
+    assert Counter(map(str, mixing.mixed(df, block=200).collect())) == Counter(map(str, df.collect()))
+
+
 def test_mixed_rows_are_whole(spark):
     rng = random.Random(4)
     rows = [(i if i % 50 else None, "x" * rng.randrange(0, 400), rng.choice(["hot", "hot", "b", None])) for i in range(500)] + [(7, "same", "b")] * 3
