@@ -7,7 +7,12 @@ point, an all-empty window is a dive point, and the lines between are kept.
 
 Where a page marks its article (``article`` or ``main``), lines outside it
 count as empty, so the surge and dive points fall on its bounds and short
-paragraphs inside survive.
+paragraphs inside survive; articles that hold less than a third of the text are
+teasers and mark nothing. Elsewhere short lines between kept blocks are kept too, and
+sentences directly behind one.
+
+A class or id speaks for boilerplate only if the element holds no article; if the
+word is but a part of its name, only if the element holds at most half of the text.
 
 Edge cases: a null or empty page gives ''; a page cut off mid-tag is read to
 its end; a page whose windows all stay under the threshold keeps the run of
@@ -39,26 +44,41 @@ OUTER_NOISE = frozenset("header head top topbar alert search meta".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z0-9]+")
+# Beginnings of names that say what the page has or is about, not what the element is.
+ABOUT = re.compile(r"(?:no|has|with|without|tag|category|is)[-_]")
+MARKED = re.compile(r"<(?:article|main)\b", re.I)
+UNREAD = re.compile(r"<(script|style|a|template|noscript)\b.*?(?:</\1\b[^>]*>|\Z)", re.I | re.S)
+SENTENCE = re.compile(r"[.!?\u2026][\"'\u201d\u2019)]*$")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
-def _noisy(name: str, attributes: str, inside: bool) -> bool:
+def _noisy(name: str, attributes: str, inside: bool) -> bool | str:
+    """Whether an element is boilerplate; "name" or "part" if only its class or id says so, by a whole name or a part of one."""
     if name in SKIPPED or (name == "header" and not inside):
         return True
     if not attributes or name in ("html", "body", "main") or name[0] == "h" and name[1:].isdigit():
         return False
     if HIDDEN.search(attributes):
         return True
+    said: bool | str = False
     for key, a, b, c in ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
         if key.lower() == "role":
             if value.strip() in ROLES:
                 return True
         else:
-            words = set(WORD.findall(value))
-            if words & NOISE or (not inside and name != "article" and words & OUTER_NOISE):
-                return True
-    return False
+            noise = NOISE if inside or name == "article" else NOISE | OUTER_NOISE
+            for one in value.split():
+                if one in noise:
+                    said = "name"
+                elif not said and not ABOUT.match(one) and noise & set(WORD.findall(one)):
+                    said = "part"
+    return said
+
+
+def _plain(html: str) -> int:
+    """Characters of text outside links."""
+    return len("".join(TOKEN.sub(" ", UNREAD.sub(" ", html)).split()))
 
 
 def _close(html: str, name: str, at: int) -> int:
@@ -92,6 +112,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
     plain = 0
     inside = anchors = 0
     at = 0
+    around = None  # the text of the page, or of the article that is open
 
     def flush() -> None:
         nonlocal plain
@@ -132,6 +153,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
                 flush()
                 inside = max(0, inside - 1)
                 if not inside:
+                    around = None
                     gap()
             elif tag == "a":
                 anchors = max(0, anchors - 1)
@@ -141,12 +163,23 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         if tag in RAW:
             at = _close(html, tag, at)
             continue
-        if tag not in VOID and _noisy(tag, m[2], inside > 0):
+        said = tag not in VOID and _noisy(tag, m[2], inside > 0)
+        if said:
+            end = _close(html, tag, at)
+            if said is not True and MARKED.search(html, at, end):
+                said = False
+            elif said == "part":
+                around = _plain(html) if around is None else around
+                if 2 * _plain(html[at:end]) > around:
+                    said = False
+        if said:
             gap()
-            at = _close(html, tag, at)
+            at = end
             continue
         if tag in ("article", "main"):
             gap()
+            if not inside:
+                around = _plain(html[at : _close(html, tag, at)])
             inside += 1
         elif tag == "a":
             anchors += 1
@@ -160,21 +193,34 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
 
 def main_text(html: str, window: int = WINDOW, surge: int = SURGE) -> str:
     lines = lines_of(html)
-    marked = any(inside for _, _, inside in lines)
+    within = sum(plain for _, plain, inside in lines if inside)
+    marked = any(inside for _, _, inside in lines) and 2 * within >= sum(plain for _, plain, inside in lines if not inside)
     # Outside a marked article, and for lines that are links only, the length is 0.
     size = [len(t) if (inside if marked else 2 * plain >= len(t) or plain >= surge) else 0 for t, plain, inside in lines]
     need = 1 if marked else surge
     sums = [sum(size[i : i + window]) for i in range(len(size))]
-    kept: list[str] = []
-    i, n = 0, len(size)
+    n = len(size)
+    chosen = [False] * n
+    i = 0
     while i < n:
         if size[i] == 0 or sums[i] < need:
             i += 1
             continue
         while i < n and sums[i] > 0:
-            if size[i]:
-                kept.append(lines[i][0])
+            chosen[i] = size[i] > 0
+            i += 1
+    if not marked and any(chosen):
+        first, last = chosen.index(True), n - 1 - chosen[::-1].index(True)
+        for i in range(first, last):
+            chosen[i] = size[i] > 0
+        # Directly behind: the next run of lines, as far as they are sentences.
+        i = last + 1
+        while i < n and not size[i]:
+            i += 1
+        while i < n and size[i] and SENTENCE.search(lines[i][0]):
+            chosen[i] = True
             i += 1
+    kept = [lines[i][0] for i in range(n) if chosen[i]]
     if not kept and any(size):
         best = max(range(n), key=lambda j: (sums[j], -j))
         while best > 0 and any(size[max(0, best - window) : best]):

@@ -32,6 +32,23 @@ def test_main_text(html, text):
     assert lineblocks.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f'<article class="post tag-social"><p>{ARTICLE}</p></article>', ARTICLE),
+        (f'<div class="content has-sidebar"><p>{ARTICLE}</p></div>', ARTICLE),
+        (f'<div class="no-comments"><article><p>{ARTICLE}</p></article></div>', ARTICLE),
+        (f'<div class="related-work"><p>{ARTICLE}</p><p>{ARTICLE}</p></div>', f"{ARTICLE}\n{ARTICLE}"),
+        (f'<div class="sidebar"><main><p>{ARTICLE}</p></main></div>', ARTICLE),
+        (f"<div><p>{ARTICLE}</p><div class=ad>buy</div><p>Short end.</p></div>", f"{ARTICLE}\nShort end."),
+        (f"<div><p>{ARTICLE}</p><div class=ad>buy</div><p>Middle</p><div class=ad>buy</div><p>{ARTICLE}</p></div>", f"{ARTICLE}\nMiddle\n{ARTICLE}"),
+        (f"<div><p>{ARTICLE}</p><p>{ARTICLE}</p></div><article><a href=1>Card</a></article><article>Teaser</article>", f"{ARTICLE}\n{ARTICLE}"),
+    ],
+)
+def test_noise_words_are_only_evidence(html, text):
+    assert lineblocks.main_text(html) == text
+
+
 def test_extract_table(spark):
     rows = [(1, "u", f"<article><p>{ARTICLE}</p></article>", "x"), (1, "u", f"<article><p>{ARTICLE}</p></article>", "x"), (None, None, None, None)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
