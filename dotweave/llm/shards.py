@@ -103,7 +103,7 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body")
     try:
-        source = df.select(F.col("_metadata.file_name").alias("segment"), F.col("_metadata.file_block_start").alias("part"), body)
+        source = df.select(F.col("_metadata.file_path").alias("segment"), F.col("_metadata.file_block_start").alias("part"), body)
     except AnalysisException:
         source = df.select(F.lit("").alias("segment"), F.spark_partition_id().cast("bigint").alias("part"), body)
 
@@ -145,7 +145,9 @@ def sequences(df: DataFrame, path: str, text: str = "text", length: int = LENGTH
     encode(df, path, text).write.option("compression", "zstd").parquet(folder)
     stream = spark.read.parquet(folder)
     # One row a file split: bounded by the number of splits, as Spark's own task list on the driver is.
-    splits = cut_lineage(stream.groupBy("segment", "part").agg(F.sum("n").alias("n")))
+    splits = cut_lineage(stream.groupBy("segment", "part").agg(F.sum("n").alias("n"), F.max(F.col("start") + F.col("n")).alias("end")))
+    if splits.where("n <> end").limit(1).count():
+        raise ValueError("two splits of the table share a name, so their texts would overlap")
     base = splits.select("segment", "part", F.expr("sum(n) OVER (ORDER BY segment, part) - n").alias("base"))
     total = splits.agg(F.sum("n")).first()[0] or 0
     size = -(-total // length)
@@ -153,6 +155,7 @@ def sequences(df: DataFrame, path: str, text: str = "text", length: int = LENGTH
         return spark.createDataFrame([], "slot bigint, shard bigint, byte_offset bigint, n_tokens int, ids binary")
     shards = -(-size // per_shard)
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    last, rest = int(training_slot(np.array([size - 1]), size, key, window)[0]), total - (size - 1) * length
     per_part = -(-shards // parts) * per_shard if shards >= parts else -(-size // parts)
     parts = -(-size // per_part)
     met = stream.join(F.broadcast(base), ["segment", "part"]).select((F.col("base") + F.col("start")).alias("at"), "ids")
@@ -179,12 +182,20 @@ def sequences(df: DataFrame, path: str, text: str = "text", length: int = LENGTH
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sets the sorted pieces of each sequence together; a sequence may reach over batches."""
+        first = None
+        seen = 0
         slots: list[int] = []
         bodies: list[bytes] = []
         now, held = None, []
 
         def out() -> pa.RecordBatch:
+            nonlocal first, seen
             slot = np.array(slots, np.int64)
+            first = slots[0] if first is None else first
+            seen += len(slots)
+            wrong = [s for s, b in zip(slots, bodies) if len(b) != 2 * (rest if s == last else length)]
+            if wrong:
+                raise ValueError(f"sequence at {wrong[0]} has not the length that the splits add up to")
             shard = slot // per_shard
             full = [b + MARK.to_bytes(2, "little") * (length - len(b) // 2) for b in bodies]
             made = pa.RecordBatch.from_arrays([pa.array(slot), pa.array(shard), pa.array((slot - shard * per_shard) * 2 * length), pa.array([len(b) // 2 for b in bodies], pa.int32()), pa.array(full, pa.binary())], names=["slot", "shard", "byte_offset", "n_tokens", "ids"])
@@ -206,6 +217,9 @@ def sequences(df: DataFrame, path: str, text: str = "text", length: int = LENGTH
             slots.append(now)
             bodies.append(b"".join(held))
             yield out()
+            low = first // per_part * per_part
+            if first != low or seen != min(per_part, size - low):
+                raise ValueError(f"{seen} sequences from {first} on where the splits add up to {min(per_part, size - low)}")
 
     dealt = met.mapInArrow(pieces, "target int, slot bigint, offset int, body binary").repartitionById(parts, "target").sortWithinPartitions("slot", "offset")
     return dealt.select("slot", "body").mapInArrow(join, "slot bigint, shard bigint, byte_offset bigint, n_tokens int, ids binary")

@@ -302,6 +302,22 @@ def test_shards_hold_the_stream(spark, tmp_path):
     assert shards.sequences(df.where("false"), _path()).count() == 0
 
 
+def test_files_of_one_name_in_several_folders(spark, tmp_path):
+    rng = random.Random(9)
+    texts = [[" ".join(_text(rng, 20 + 7 * k + i)) for i in range(15)] for k in range(3)]
+    for k, some in enumerate(texts):
+        spark.createDataFrame([(t,) for t in some], "text string").coalesce(1).write.parquet(str(tmp_path / f"made{k}"))
+        (tmp_path / "docs" / f"lang=l{k}").mkdir(parents=True)
+        (made,) = (tmp_path / f"made{k}").glob("part-*.parquet")
+        made.rename(tmp_path / "docs" / f"lang=l{k}" / "part-0.parquet")
+    rows = shards.sequences(spark.read.parquet(str(tmp_path / "docs")), _path(), length=32, per_shard=16).collect()
+    encoder = shards._encoding(_path())
+    stream = [t for some in texts for x in some for t in [*encoder.encode_ordinary(x), shards.MARK]]
+    size = -(-len(stream) // 32)
+    stream += [shards.MARK] * (size * 32 - len(stream))
+    assert {r["slot"]: np.frombuffer(r["ids"], "<u2").tolist() for r in rows} == {int(s): stream[32 * i : 32 * i + 32] for i, s in enumerate(shards.permute(np.arange(size), size))}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
