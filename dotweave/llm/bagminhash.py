@@ -12,15 +12,20 @@ m (ln m + 3) / W; the few bags with an empty component double their time.
 
 Bands of the signature give candidate buckets. Every bucket compares its members
 with one pivot, the member met most often in other buckets; links are verified on
-whole texts and joined into components. Buckets that still hold two components
+whole bags and joined into components. Buckets that still hold two components
 are then compared in full, in blocks, so nothing is capped and members already in
 one component are never paired again; of a large bucket only those links leave
 a block that join two components.
 
-Edge cases: texts are compared whole, nulls as the empty text; equal texts are
-one class before any signature; a text under five words is one shingle; texts
-without words have no shingle and only join their equals; ids may be null or
-repeated, a class takes the smallest id it has (null if it has none).
+Equal texts are one row before any text moves: each task gives one text a key.
+What a hot pivot or a hot text is joined with is dealt to as many parts as it needs.
+
+Edge cases: texts are compared whole, however long (a task holds some texts, or one
+long one, at a time), nulls as the empty text; equal texts are one class before any
+signature; a text under five words is one shingle; texts without words have no
+shingle and only join their equals; ids may be null or repeated, a class takes the
+smallest id it has (null if it has none); of equal rows one is kept; an empty table
+gives an empty table; other columns pass through ``keep_one`` whatever their names.
 """
 
 from __future__ import annotations
@@ -30,22 +35,28 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dotweave.llm.common import cut_lineage
+from dotweave.llm.common import cut_lineage, deal
 from dotweave.llm.components import components
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 SIZE = BANDS * ROWS
-#: A pair is verified on its texts if its signatures agree at least so far: four standard deviations below the similarity asked for.
+#: A pair is verified on its bags if its signatures agree at least so far: four standard deviations below the similarity asked for.
 SLACK = 4.0
 #: Buckets up to so many rows give their likely pairs; larger ones are compared in blocks of so many rows, where only links leave the task.
 FEW = 48
 BLOCK = 1024
-BATCH_CHARS = 2_000_000
+#: Bytes of text that a task turns into bags at a time, and elements that it compares.
+BATCH_BYTES = 1_000_000
+BATCH_ELEMENTS = 500_000
+#: A pivot's pairs are dealt to parts of so many.
+PART = 256
 
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _C = [np.uint64(x) for x in _ODD]
@@ -69,26 +80,38 @@ def _uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of neighbours of at most ``most`` together, or single ones."""
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, to
+        at = to
+
+
+def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, shingle, count) of the bags of some texts, sorted by text and shingle."""
-    words: list[str] = []
-    lengths = np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        own = text.split()
-        if 0 < len(own) < WORDS:
-            own = [" ".join(own)] + [""] * (WORDS - 1)
-        lengths[i] = len(own)
-        words += own
-    if not words:
+    split = pc.utf8_split_whitespace(texts)
+    words = split.flatten()
+    real = pc.not_equal(words, "")
+    doc = pc.list_parent_indices(split).filter(real).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = words.filter(real).dictionary_encode()
+    if not len(doc):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    codes, names = pd.factorize(np.array(words, dtype=object))
-    h = pd.util.hash_array(np.asarray(names, dtype=object), categorize=False)[codes]
+    names = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    length = np.bincount(doc, minlength=len(texts))
+    # A text of fewer words is filled up to one shingle.
+    filled = np.where((length > 0) & (length < WORDS), WORDS, length)
+    begins = np.cumsum(filled) - filled
+    h = np.zeros(filled.sum(), np.uint64)
+    h[begins[doc] + np.arange(len(doc)) - (np.cumsum(length) - length)[doc]] = names[coded.indices.to_numpy(zero_copy_only=False)]
+    doc = np.repeat(np.arange(len(texts)), filled)
     n = len(h) - WORDS + 1
     s = np.zeros(n, np.uint64)
     for k in range(WORDS):
         s += (h[k : k + n] ^ (h[k : k + n] >> np.uint64(29))) * _C[k]
     s = _mix(s)
-    doc = np.repeat(np.arange(len(texts)), lengths)
     inside = doc[:n] == doc[WORDS - 1 :]
     doc, s = doc[:n][inside], s[inside]
     order = np.lexsort((s, doc))
@@ -140,28 +163,40 @@ def _points(flat, d, s, c, limit, level: int, low: float, width: float) -> None:
         i += 1
 
 
+def _rows(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary column of so many bytes of ``values`` each."""
+    ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
+def _numbers(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a binary column end to end, and how many each row has."""
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // np.dtype(kind).itemsize
+    _, ends, data = column.cast(pa.binary()).buffers()
+    begin = int(np.frombuffer(ends, np.int32)[column.offset]) if len(column) else 0
+    values = np.frombuffer(data, np.uint8)[begin : begin + int(sizes.sum()) * np.dtype(kind).itemsize] if data is not None else np.zeros(0, np.uint8)
+    return values.view(kind), sizes
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The signature and bands of each text; of equal texts that are neighbours in a task only the first has them."""
     for batch in batches:
-        texts = batch.column("body").to_pylist()
-        at = 0
-        while at < len(texts):
-            to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to]) <= BATCH_CHARS):
-                size += len(texts[to])
-                to += 1
-            total, times = signatures(*shingles(texts[at:to]), to - at)
-            bits = _mix(times.view(np.uint64).copy())
-            sig = (bits & np.uint64(0xFFFF)).astype("<u2")
-            band = np.zeros((to - at, BANDS), np.uint64)
+        for at, to in _slices(pc.binary_length(batch.column("body")).to_numpy(zero_copy_only=False), BATCH_BYTES):
+            part = batch.slice(at, to - at)
+            codes = part.column("key").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            first = np.zeros(len(codes), bool)
+            first[np.unique(codes, return_index=True)[1]] = True
+            total, times = signatures(*shingles(part.column("body").filter(pa.array(first))), int(first.sum()))
+            sig = (_mix(times.view(np.uint64).copy()) & np.uint64(0xFFFF)).astype("<u2")
+            band = np.zeros((len(sig), BANDS), np.uint64)
             for r in range(ROWS):
                 band = _mix(band * _C[2] + sig[:, r::ROWS].astype(np.uint64))
             band = _mix(band ^ (np.arange(1, BANDS + 1, dtype=np.uint64) * _C[0])).view(np.int64)
-            bands = [b.tolist() if w else [] for b, w in zip(band, total)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key").slice(at, to - at), batch.column("id").slice(at, to - at), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["key", "id", "sig", "bands"],
-            )
-            at = to
+            every, own = np.zeros(len(codes), np.int64), np.flatnonzero(first)
+            every[own] = BANDS * (total > 0)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(every))), pa.int32()), pa.array(band[total > 0].ravel()))
+            width = np.where(first, 2 * SIZE, 0)
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("id"), pc.if_else(pa.array(first), _rows(sig, width), None), pc.if_else(pa.array(first), lists, None)], names=["key", "id", "sig", "bands"])
 
 
 def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -183,43 +218,40 @@ def _least(similarity: float) -> float:
     return similarity - SLACK * (similarity * (1 - similarity) / SIZE) ** 0.5
 
 
-def _close(pairs: DataFrame, nodes: DataFrame, similarity: float, look: bool = True) -> DataFrame:
-    """The pairs (a, b) whose texts have the similarity, after a look at their signatures where that is still to be taken."""
-    least = _least(similarity)
+def overlaps(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Exact weighted Jaccard similarity of the bags a[i] and b[i], given as ``elements``."""
+    (x, n), (y, m) = _numbers(a, "<u4"), _numbers(b, "<u4")
+    pair = np.concatenate((np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m)))
+    both = np.sort((pair.astype(np.uint64) << np.uint64(32)) | np.concatenate((x, y)).astype(np.uint64), kind="stable")
+    shared = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(n))
+    whole = n + m - shared
+    return np.where(whole > 0, shared / np.maximum(whole, 1), 1.0)
 
-    def likely(batches):
-        for batch in batches:
-            x, y = (_sigs(batch.column(c).to_pylist()) for c in ("sa", "sb"))
-            yield batch.select(["a", "b"]).filter(pa.array(_agree(x, y) >= least))
+
+def _close(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs (key, pivot, n) the links (a, b): those whose bags have the similarity, after a look at their signatures.
+
+    ``n`` says how many meet the pivot, which is dealt to as many parts as that needs.
+    """
+    least = _least(similarity)
 
     def sure(batches):
         for batch in batches:
-            a, b = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
-            keep = []
-            for i in range(0, len(a), 64):
-                keep += [x >= similarity for x in jaccards(a[i : i + 64], b[i : i + 64])]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    kind = nodes.schema["key"].dataType.simpleString()
-    sigs, texts = nodes.select("key", "sig"), nodes.select("key", "body")
-    if look:
-        pairs = pairs.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(likely, f"a {kind}, b {kind}")
-    read = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(sure, f"a {kind}, b {kind}")
-    return cut_lineage(read)
-
-
-def jaccards(a: list[str], b: list[str]) -> list[float]:
-    """Exact weighted Jaccard similarity of the bags of a[i] and b[i]."""
-    n = len(a)
-    doc, s, c = shingles(a + b)
-    total = np.bincount(doc, c, 2 * n)
-    pair = doc % n
-    order = np.lexsort((s, pair))
-    p, s, c = pair[order], s[order], c[order]
-    same = np.flatnonzero((p[1:] == p[:-1]) & (s[1:] == s[:-1])) if len(p) else np.zeros(0, np.int64)
-    shared = np.bincount(p[same], np.minimum(c[same], c[same + 1]), n) if len(same) else np.zeros(n)
-    whole = total[:n] + total[n:] - shared
-    return np.where(whole > 0, shared / np.maximum(whole, 1), 1.0).tolist()
+            x, y = (_numbers(batch.column(c), "<u2")[0].reshape(-1, SIZE) for c in ("sig", "psig"))
+            batch = batch.filter(pa.array(_agree(x, y) >= least))
+            sizes = sum(pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False) for c in ("elements", "pelements")) // 4
+            for at, to in _slices(sizes, BATCH_ELEMENTS):
+                part = batch.slice(at, to - at)
+                keep = pa.array(overlaps(part.column("elements"), part.column("pelements")) >= similarity)
+                yield part.select(["key", "pivot"]).filter(keep)
+
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int"))
+    most = pairs.groupBy("pivot").agg(F.max(parts).alias("parts"))
+    pivots = known.select(F.col("key").alias("pivot"), F.col("sig").alias("psig"), F.col("elements").alias("pelements")).join(most, "pivot")
+    pivots = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    met = dealt.join(known, "key").join(pivots, ["pivot", "part"]).select("key", "pivot", "sig", "psig", "elements", "pelements")
+    return cut_lineage(met.mapInArrow(sure, "key binary, pivot binary").toDF("a", "b"))
 
 
 def _pairs(similarity: float):
@@ -241,13 +273,37 @@ def _pairs(similarity: float):
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each bag as a sorted set of 32-bit numbers, one for each occurrence of a shingle."""
     for batch in batches:
-        doc, s, c = shingles(batch.column("body").to_pylist())
-        nth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-        e = (_mix(np.repeat(s, c) + nth.astype(np.uint64) * _C[1]) & np.uint64(0xFFFFFFFF)).astype("<u4")
-        doc = np.repeat(doc, c)
-        e = e[np.lexsort((e, doc))]
-        ends = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([e[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())], names=["key", "elements"])
+        for at, to in _slices(pc.binary_length(batch.column("body")).to_numpy(zero_copy_only=False), BATCH_BYTES):
+            part = batch.slice(at, to - at)
+            doc, s, c = shingles(part.column("body"))
+            nth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+            e = _mix(np.repeat(s, c) + nth.astype(np.uint64) * _C[1]) & np.uint64(0xFFFFFFFF)
+            doc = np.repeat(doc, c)
+            e = np.sort((doc.astype(np.uint64) << np.uint64(32)) | e).astype("<u4")
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("sig"), _rows(e, 4 * np.bincount(doc, minlength=to - at))], names=["key", "sig", "elements"])
+
+
+def _partners(similarity: float):
+    """The rows of two blocks of a large bucket that are likely to have a link to another component."""
+    least = _least(similarity)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        sig, root, block = _sigs(rows["sig"]), pd.factorize(rows["root"])[0], rows["block"].to_numpy()
+        band = rows["band"].iloc[0]
+        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        live = np.zeros(len(rows), bool)
+        for i in left:
+            j = right[root[right] != root[i]]
+            if len(j):
+                j = j[_agree(sig[j], sig[i]) >= least]
+            if len(j):
+                j = j[_first_band(sig[j], sig[i]) == band]
+            if len(j):
+                live[i] = True
+                live[j] = True
+        return rows.loc[live, ["h", "key"]]
+
+    return run
 
 
 def _links(similarity: float):
@@ -285,49 +341,61 @@ def _links(similarity: float):
 
 
 def classes(df: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(key, class_id, class_size, chosen) for every different text of ``df``; key is ``text_key`` of the text, one text a class is chosen."""
+    """(key, class_id, class_size, chosen, copies) for every different text of ``df``; key is ``text_key`` of the text, one text a class is chosen."""
     source = df.select(F.col(f"`{id}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body"))
     keyed = source.select(text_key("body").alias("key"), "id", "body")
     sketch = keyed.mapInArrow(_sketch, f"key binary, id {df.schema[id].dataType.simpleString()}, sig binary, bands array<bigint>")
-    nodes = cut_lineage(sketch.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")))
+    nodes = cut_lineage(sketch.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.any_value("sig", True).alias("sig"), F.any_value("bands", True).alias("bands")))
 
     met = nodes.select("key", F.posexplode("bands").alias("band", "h"))
     shared = met.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = cut_lineage(met.join(shared, "h"))
     central = buckets.groupBy("key").agg(F.sum("n").alias("met"))
     pivots = buckets.join(central, "key").groupBy("h").agg(F.max(F.struct("met", "key")).alias("p")).select("h", F.col("p.key").alias("pivot"))
-    buckets = buckets.join(pivots, "h")
-    tried = buckets.where("key <> pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
+    buckets = cut_lineage(buckets.join(pivots, "h"))
+    tried = buckets.where("key <> pivot").groupBy("key", "pivot").agg(F.max("n").alias("n"))
 
-    # The whole texts of those that share a bucket, once.
-    own = keyed.select("key", "body").join(central.select("key"), "key", "left_semi").dropDuplicates(["key"])
-    known = cut_lineage(own.join(nodes.select("key", "sig"), "key"))
+    # The bags of those that share a bucket, once; of equal texts each task gives one.
+    texts = keyed.groupBy("key").agg(F.any_value("body").alias("body"))
+    near = nodes.select("key", "sig").join(central.select("key"), "key", "left_semi")
+    known = cut_lineage(texts.join(near, "key").mapInArrow(_elements, "key binary, sig binary, elements binary"))
 
     links = _close(tried, known, similarity)
-    roots = components(links)
+    roots = cut_lineage(components(links))
     rooted = buckets.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = rooted.where("n > 2").groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
-    rest = rooted.join(mixed, "h").join(known.select("key", "sig"), "key").withColumn("pivot", F.col("key") == F.col("pivot"))
-    few = rest.where(F.col("n") <= FEW).select("h", "band", "key", "root", "sig", "pivot")
+    rest = cut_lineage(rooted.join(mixed, "h"))
+    signed = rest.join(known.select("key", "sig"), "key")
+    few = signed.where(F.col("n") <= FEW).select("h", "band", "key", "root", "sig", (F.col("key") == F.col("pivot")).alias("pivot"))
     late = few.groupBy("h").applyInPandas(lambda rows: _pairs(similarity)(rows), "a binary, b binary")
-
-    many = cut_lineage(rest.where(F.col("n") > FEW))
-    bags = known.join(many.select("key").distinct(), "key").select("key", "body").mapInArrow(_elements, "key binary, elements binary")
-    dealt = many.join(bags, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
-    dealt = dealt.select("h", "band", "key", "root", "sig", "elements", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    dealt = dealt.withColumns({"i": F.least("block", F.col("other").cast("bigint")), "j": F.greatest("block", F.col("other").cast("bigint"))}).drop("other")
+    late = late.groupBy(F.col("a").alias("key"), F.col("b").alias("pivot")).agg(F.lit(FEW).alias("n"))
+
+    # Of large buckets, signatures say first which rows have anyone to be compared with; only those send their bags.
+    large = _blocks(signed.where(F.col("n") > FEW).select("h", "band", "key", "root", "n", "sig"))
+    live = large.groupBy("h", "i", "j").applyInPandas(lambda rows: _partners(similarity)(rows), "h bigint, key binary").distinct()
+    many = cut_lineage(rest.where(F.col("n") > FEW).join(live, ["h", "key"]).select("h", "band", "key", "root"))
+    left = many.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    dealt = _blocks(many.join(left, "h").join(known, "key"))
     joined = dealt.groupBy("h", "i", "j").applyInPandas(lambda rows: _links(similarity)(rows), "a binary, b binary")
-    more = _close(cut_lineage(late.union(joined).distinct()), known, similarity, look=False)
+    more = _close(cut_lineage(late), known, similarity).union(joined)
 
     # What is found late joins components, not nodes.
     a, b = roots.toDF("a", "ra"), roots.toDF("b", "rb")
     between = more.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     last = components(between).toDF("root", "last")
     every = nodes.select("key", "id", "copies").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    every = every.join(last, "root", "left").select("key", "id", "copies", F.coalesce("last", "root").alias("root"))
+    every = cut_lineage(every.join(last, "root", "left").select("key", "id", "copies", F.coalesce("last", "root").alias("root")))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
     sizes = every.groupBy("root").agg(first.alias("first"), F.sum("copies").alias("class_size"))
-    return every.select("key", "root").join(sizes, "root").select("key", F.col("first.id").alias("class_id"), "class_size", (F.col("key") == F.col("first.key")).alias("chosen"))
+    return every.join(sizes, "root").select("key", F.col("first.id").alias("class_id"), "class_size", (F.col("key") == F.col("first.key")).alias("chosen"), "copies")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """The rows of each bucket h, of n rows, dealt to all pairs (i, j) of its blocks."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks", "n")
 
 
 def text_key(column: str):
@@ -336,16 +404,21 @@ def text_key(column: str):
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row for each row of ``df``: its id, the class it belongs to and how many rows that class has."""
-    found = classes(df, id, text, similarity).drop("chosen")
-    return df.select(F.col(f"`{id}`"), text_key(text).alias("__key")).join(found.withColumnRenamed("key", "__key"), "__key").drop("__key")
+    """One row for each row of ``df``: its id, the class it belongs to and how many rows that class has.
+
+    A text that many rows hold is dealt to many parts, so no task meets all its rows.
+    """
+    found = cut_lineage(classes(df, id, text, similarity).drop("chosen")).withColumnRenamed("key", "__key")
+    rows = df.select(F.col(f"`{id}`"), text_key(text).alias("__key"))
+    left, right = deal(rows, found, "__key", "copies", F.xxhash64(F.col(f"`{id}`")))
+    return left.join(right, ["__key", "__part"]).drop("__key", "__part", "copies")
 
 
 def keep_one(df: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row of each class with all columns of ``df``: that of the smallest id, then of the smallest text key, then of the smallest other atomic values."""
-    chosen = classes(df, id, text, similarity).where("chosen").select("key", F.col("class_id").alias("own"))
+    named = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+    chosen = classes(df, id, text, similarity).where("chosen").select("key", named(F.col("class_id")).alias("id"))
     plain = [F.col(f"`{f.name}`") for f in df.schema if f.dataType.simpleString() not in ("variant",) and not f.dataType.simpleString().startswith(("map", "array", "struct"))]
-    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.struct(*plain).alias("rank"), F.col(f"`{id}`").alias("id"), text_key(text).alias("key"))
+    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.struct(*plain).alias("rank"), named(F.col(f"`{id}`")).alias("id"), text_key(text).alias("key"))
     # The id is part of the join key, so a large group of copies is dealt over all tasks; repeated rows meet in one.
-    met = row.join(chosen.toDF("k", "own"), (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("own")))
-    return met.groupBy("key", "id").agg(F.min_by("row", "rank").alias("row")).select("row.*")
+    return row.join(chosen, ["key", "id"]).groupBy("key", "id").agg(F.min_by("row", "rank").alias("row")).select("row.*")

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,9 +94,11 @@ def test_signatures_are_unbiased():
         for _ in range(k % 15):
             other[rng.randrange(200)] = rng.choice(WORDS)
         a, b = " ".join(words + ["p q r s t"] * (k % 8)), " ".join(other + ["p q r s t"] * (k % 5))
-        _, times = bagminhash.signatures(*bagminhash.shingles([a, b]), 2)
+        _, times = bagminhash.signatures(*bagminhash.shingles(pa.array([a, b])), 2)
         exact = _jaccard(_bag(a), _bag(b))
-        assert abs(bagminhash.jaccards([a], [b])[0] - exact) < 1e-9
+        batch = pa.RecordBatch.from_arrays([pa.array([b"a", b"b"]), pa.array([b"", b""]), pa.array([a, b])], names=["key", "sig", "body"])
+        made = next(bagminhash._elements([batch])).column("elements")
+        assert abs(bagminhash.overlaps(made[:1], made[1:])[0] - exact) < 1e-9
         errors.append((times[0] == times[1]).mean() - exact)
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
 
