@@ -60,11 +60,11 @@ PARTS = 64
 def deal(left: DataFrame, right: DataFrame, key: str, copies: str, spread: Column) -> tuple[DataFrame, DataFrame]:
     """Both tables with a column ``__part``, for a join on ``key`` and it: keys that hold more than 1 in HEAVY of the rows of ``left`` are dealt to PARTS parts by ``spread``.
 
-    ``right`` has one row a key and counts the rows of ``left`` in ``copies``, so the
+    ``right`` counts the rows of ``left`` in column ``copies``, so the
     heavy keys are fewer than HEAVY and may be broadcast.
     """
     total = right.agg(F.sum(copies)).first()[0] or 0
-    heavy = right.where(F.col(copies) > max(total // HEAVY, 1)).select(F.col(key).alias("__heavy"))
+    heavy = right.where(F.col(copies) > max(total // HEAVY, 1)).select(F.col(key).alias("__heavy")).distinct()
     hot = F.col("__heavy").isNotNull()
     a = left.join(F.broadcast(heavy), F.col(key) == F.col("__heavy"), "left").withColumn("__part", F.when(hot, F.pmod(spread, F.lit(PARTS)).cast("int")).otherwise(0)).drop("__heavy")
     parts = F.when(F.col(copies) > max(total // HEAVY, 1), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))

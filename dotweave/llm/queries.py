@@ -97,41 +97,45 @@ sizes AS (SELECT root, min(id) AS class_id, CAST(sum(copies) AS BIGINT) AS class
 SELECT d.doc_id, s.class_id, s.class_size FROM documents d JOIN roots r ON r.k = md5(coalesce(d.text, '')) JOIN sizes s USING (root)
 """
 
-#: The same templates and windows, compared as lists of words.
-BENCHMARK_LEAKS = r"""
-WITH source AS (SELECT DISTINCT coalesce(text, '') AS t FROM documents),
-both_ AS (SELECT 'd' AS side, t, CAST(NULL AS BIGINT) AS item, row_number() OVER () AS r FROM source UNION ALL SELECT 'b', coalesce(text, ''), item_id, row_number() OVER () FROM benchmark),
-raw AS (SELECT side, t, item, r, list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> '') AS raw FROM both_),
+def _benchmark_sql() -> str:
+    """The same templates, windows and slots, words and windows compared as lists."""
+    listed = lambda names: ", ".join(f"'{w}'" for w in dict.fromkeys(names.split()))
+    number = lambda w: f"(regexp_matches({w}, '[0-9]') OR lower({w}) IN ({listed(templates.NUMBERS)}))"
+    slots = "('<n>', '<name>', '<u>')"
+    later = "(m[i] = '<name>' AND i > 1 AND m[i - 1] = '<name>')"
+    return rf"""
+WITH texts AS (SELECT 'd' AS side, t, CAST(NULL AS BIGINT) AS item, row_number() OVER () AS r FROM (SELECT DISTINCT coalesce(text, '') AS t FROM documents)),
+given AS (SELECT coalesce(text, '') AS t, item_id AS item, 2 * row_number() OVER () AS r FROM benchmark),
+every AS (SELECT * FROM texts UNION ALL SELECT 'b', t, item, r FROM given UNION ALL SELECT 'b', lower(t), item, r + 1 FROM given WHERE lower(t) <> t),
+words AS (SELECT side, t, item, r, string_split(trim(regexp_replace(regexp_replace(t, '[^\p{{L}}\p{{N}}\s\p{{Z}}]+', '', 'g'), '[\s\p{{Z}}]+', ' ', 'g')), ' ') AS w FROM every),
+kinds AS (SELECT side, t, item, r, w, [CASE
+    WHEN {number('x')} THEN '<n>'
+    WHEN regexp_matches(x, '^\p{{Lu}}\p{{Ll}}') AND lower(x) NOT IN ({listed(templates.FUNCTION)}) THEN '<name>'
+    WHEN i > 1 AND {number('w[i - 1]')} AND lower(x) IN ({listed(templates.UNITS)}) THEN '<u>'
+    ELSE lower(x) END FOR x, i IN w] AS m FROM words),
 tokens AS (
-  SELECT side, t, item, r, list_filter([CASE
-    WHEN regexp_matches(w, '[0-9]') THEN {'t': '<n>', 'p': lower(regexp_replace(w, '[^\p{L}\p{N}]+', '', 'g'))}
-    WHEN i > 1 AND regexp_matches(w, '^[^\p{L}\p{N}]*\p{Lu}\p{Ll}') AND NOT regexp_matches(raw[i - 1], '[.!?:|]["'')\]]*$') THEN {'t': '<name>', 'p': lower(regexp_replace(w, '[^\p{L}\p{N}]+', '', 'g'))}
-    WHEN i > 1 AND regexp_matches(raw[i - 1], '[0-9]') AND list_contains(string_split('@UNITS@', ' '), lower(regexp_replace(w, '[^\p{L}\p{N}]+', '', 'g'))) THEN {'t': '<u>', 'p': lower(regexp_replace(w, '[^\p{L}\p{N}]+', '', 'g'))}
-    ELSE {'t': lower(regexp_replace(w, '[^\p{L}\p{N}]+', '', 'g')), 'p': lower(regexp_replace(w, '[^\p{L}\p{N}]+', '', 'g'))} END
-    FOR w, i IN raw], lambda x: x.t <> '') AS tok FROM raw
-),
-items AS (SELECT item, r, tok, least(len(tok), 8) AS k FROM tokens WHERE side = 'b' AND len(tok) >= 5),
-iw AS (
-  SELECT item, r, k, a AS iat, tok[a:a + k - 1] AS w FROM (SELECT item, r, tok, k, unnest(range(1, len(tok) - k + 2)) AS a FROM items)
-),
-iw2 AS (SELECT *, list_transform(w, lambda x: x.t) AS words, len(list_filter(w, lambda x: x.t IN ('<n>', '<name>', '<u>'))) AS slots FROM iw),
-iw3 AS (SELECT *, count(*) OVER (PARTITION BY r) AS n FROM iw2 WHERE k - slots >= 4),
-dw AS (
-  SELECT r AS d, k, a AS pos, tok[a:a + k - 1] AS w FROM (SELECT r, tok, k, unnest(range(1, len(tok) - k + 2)) AS a FROM tokens, (SELECT DISTINCT k FROM items) WHERE side = 'd' AND len(tok) >= k)
-),
-met AS (SELECT d, i.item, i.r, i.n, i.iat, i.slots, any_value(i.w) AS iw, arg_min(dw.w, dw.pos) AS dw FROM (SELECT *, list_transform(w, lambda x: x.t) AS words FROM dw) dw JOIN iw3 i ON dw.k = i.k AND dw.words = i.words GROUP BY ALL),
-filled AS (SELECT d, r, unnest(list_filter(list_zip(iw, dw), lambda z: z[1].t IN ('<n>', '<name>', '<u>'))) AS z FROM met WHERE slots > 0),
-vals AS (SELECT d, r, z[1].p AS v, count(DISTINCT z[2].p) > 1 AS two FROM filled GROUP BY ALL),
-checked AS (SELECT d, r, count(*) AS slot_values, count(*) FILTER (two) AS conflicts FROM vals GROUP BY ALL),
-found AS (SELECT d, item, r, n, count(*) AS found, count(*) FILTER (slots = 0) AS literal FROM met GROUP BY ALL),
-leaks AS (
-  SELECT d, item, n, coalesce(slot_values, 0) AS slot_values, coalesce(conflicts, 0) AS conflicts, CASE WHEN coalesce(conflicts, 0) = 0 THEN found ELSE literal END AS windows
-  FROM found LEFT JOIN checked USING (d, r)
-)
-SELECT o.doc_id, l.item AS item_id, l.windows, l.n AS item_windows, l.slot_values, l.conflicts
-FROM leaks l JOIN tokens t ON t.side = 'd' AND t.r = l.d JOIN documents o ON coalesce(o.text, '') = t.t
-WHERE l.windows >= greatest(1, least(6, ceil(l.n * 0.5)))
-""".replace("\\\\", "\\").replace("@UNITS@", templates.UNITS)
+  SELECT side, t, item, r, [m[i] FOR i IN range(1, len(m) + 1) IF NOT {later}] AS tok,
+    string_split(substr(array_to_string([CASE WHEN {later} THEN '_' ELSE ' ' END || lower(w[i]) FOR i IN range(1, len(m) + 1)], ''), 2), ' ') AS plain FROM kinds),
+items AS (SELECT item, r, tok, plain, least(len(tok), {templates.WINDOW}) AS k FROM tokens WHERE side = 'b' AND len(tok) >= {templates.SHORTEST}),
+iw AS (SELECT item, r, k, a AS iat, tok[a:a + k - 1] AS w, plain[a:a + k - 1] AS p FROM (SELECT *, unnest(range(1, len(tok) - k + 2)) AS a FROM items)),
+iw2 AS (SELECT *, len([x FOR x IN w IF x IN {slots}]) AS slots FROM iw),
+iw3 AS (SELECT *, count(*) OVER (PARTITION BY r) AS n FROM iw2 WHERE k - slots >= {templates.LITERAL}),
+dw AS (SELECT r AS d, k, a AS pos, tok[a:a + k - 1] AS w, plain[a:a + k - 1] AS p FROM (SELECT r, tok, plain, k, unnest(range(1, len(tok) - k + 2)) AS a FROM tokens, (SELECT DISTINCT k FROM items) WHERE side = 'd' AND len(tok) >= k)),
+met AS (SELECT DISTINCT d, i.item, i.r, CAST(i.n AS INTEGER) AS n, i.iat, dw.pos, [{{'a': i.p[j], 'b': dw.p[j]}} FOR j IN range(1, i.k + 1) IF i.w[j] IN {slots}] AS fills FROM dw JOIN iw3 i ON dw.k = i.k AND dw.w = i.w),
+placed AS (SELECT *, pos - iat AS line, len([x FOR x IN fills IF x.a <> x.b]) = 0 AS own FROM met),
+scoped AS (
+  SELECT *, 0 AS scope, 0 AS place FROM placed UNION ALL SELECT *, 1, line FROM placed
+  UNION ALL SELECT *, 2, CAST(floor(line / (2 * (n + {templates.WINDOW}))) AS BIGINT) FROM placed UNION ALL SELECT *, 3, CAST(floor((line + n + {templates.WINDOW}) / (2 * (n + {templates.WINDOW}))) AS BIGINT) FROM placed),
+each AS (SELECT d, item, r, n, scope, place, iat, arg_min(fills, pos) AS fills, bool_or(own) AS own FROM scoped GROUP BY ALL),
+vals AS (SELECT d, r, scope, place, x.a AS v, min(x.b) <> max(x.b) AS two FROM (SELECT d, r, scope, place, unnest(fills) AS x FROM each) GROUP BY ALL),
+checked AS (SELECT d, r, scope, place, count(*) AS slot_values, count(*) FILTER (two) AS conflicts FROM vals GROUP BY ALL),
+found AS (SELECT d, item, r, n, scope, place, count(*) AS found, count(*) FILTER (own) AS literal FROM each GROUP BY ALL),
+judged AS (SELECT f.*, coalesce(slot_values, 0) AS slot_values, coalesce(conflicts, 0) AS conflicts, CASE WHEN coalesce(conflicts, 0) = 0 THEN found ELSE literal END AS windows FROM found f LEFT JOIN checked USING (d, r, scope, place)),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY d, r ORDER BY windows DESC, scope, place, slot_values DESC, conflicts DESC) AS rn FROM judged) WHERE rn = 1),
+leaks AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY d, r // 2 ORDER BY r) AS nth FROM best WHERE windows >= greatest(1, least({templates.ENOUGH}, ceil(n * {templates.SHARE})))) WHERE nth = 1)
+SELECT o.doc_id, l.item AS item_id, l.windows, CAST(l.n AS BIGINT) AS item_windows, l.slot_values, l.conflicts
+FROM leaks l JOIN texts t ON t.r = l.d JOIN documents o ON coalesce(o.text, '') = t.t
+"""
 
 
 def _licences_sql() -> str:
@@ -155,4 +159,4 @@ SELECT doc_id, path, own, cosine, coalesce(own, got.licence) AS licence, CASE WH
 """
 
 
-ORACLES: dict[str, str] = {"op3_near_duplicates": NEAR_DUPLICATES, "op7_benchmark_leaks": BENCHMARK_LEAKS, "op8_licences": _licences_sql()}
+ORACLES: dict[str, str] = {"op3_near_duplicates": NEAR_DUPLICATES, "op7_benchmark_leaks": _benchmark_sql(), "op8_licences": _licences_sql()}

@@ -1,9 +1,10 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-A text becomes a list of tokens. Numbers, names (a capitalised word that does not
-begin a sentence) and units (a unit word behind a number) become typed
-placeholders; other words are lower-cased and stripped of punctuation. Windows of
-the templates of a benchmark are joined by hash with those of the documents, so a
+A text becomes a list of tokens. Numbers (also in words), names (capitalised words
+that are no function words; a run of them is one) and units (a unit word behind a
+number) become typed placeholders; other words are lower-cased and stripped of
+punctuation. What a word becomes does not depend on the sentence around it. Windows
+of the templates of a benchmark are joined by hash with those of the documents, so a
 question with other numbers or names still meets its source. What stands in a
 slot of the question must then be replaced alike everywhere: one value of the
 item, one value of the document. Every occurrence of a window counts: slots are
@@ -11,27 +12,27 @@ checked over the first ones of the whole document, along each unbroken copy and
 bands of neighbouring ones, and the best of these is reported. Windows without slots,
 or with the item's own values in them, need no such check.
 
-A document leaks an item if enough of the item's windows are found in it: half of
-them, or as many as thirteen words in a row give.
-
-Texts are read in three ways, and a leak by any of them is one: as above; as plain
-lower-cased words, so case and sentence ends do not matter; and with each capitalised
-word that is no function word as a name wherever it stands, runs of names as one and
-numbers in words as numbers. Names that a re-parameterised copy writes in lower case
-are not recognised.
-
-Edge cases: null and empty texts have no windows; an item shorter than a window
-is one window of its own length, matched against windows of that length, if it
-has at least ``SHORTEST`` words; windows with fewer than ``LITERAL`` plain words
-are no evidence; repeated items and repeated rows are found each; ids may be null.
+Items are read as they are and in lower case, so copies in lower or upper case are
+found too; a document is read once. A document leaks an item if enough of the item's
+windows are found in it: half of them, or as many as thirteen words in a row give.
+Not found: copies that give every word a capital, and re-parameterised copies whose
+new names have none.
+
+Edge cases: null and empty texts have no windows; whole texts are read, however long;
+an item shorter than a window is one window of its own length, matched against windows
+of that length, if it has at least ``SHORTEST`` words; windows with fewer than
+``LITERAL`` plain words are no evidence; repeated items and repeated rows are found
+each, equal texts are examined together; ids may be null; an empty table of either
+kind leaks nothing; only id and text are read in ``report``, and ``remove`` passes
+other columns through whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dotweave.llm.common import cut_lineage
+from dotweave.llm.common import cut_lineage, deal
 
 WINDOW = 8
 SHORTEST = 5
@@ -46,59 +47,48 @@ SMALL_BYTES = 64 << 20
 UNITS = "mm cm m km inch inches foot feet ft yard yards mile miles mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ton tons ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years dollar dollars cent cents euro euros usd eur percent degree degrees mph kmh"
 NUMBER, NAME, UNIT = "<n>", "<name>", "<u>"
 
-STRIP = r"[^\\p{L}\\p{N}]+"
-
-
-def _with_tokens(df: DataFrame, text: str) -> DataFrame:
-    """Adds ``raw`` (words as written)."""
-    return df.withColumn("raw", F.expr(f"filter(split({text}, '\\\\s+'), w -> w <> '')"))
-
-
-PLAIN = f"lower(regexp_replace(w, '{STRIP}', ''))"
-#: The readings of a text, in the order in which they are reported.
-READINGS = ("templates", "plain words", "names anywhere")
-# Fixed values of the third reading: words that are no names though they are capitalised, and numbers in words.
+# Words that are no names though they are capitalised, and numbers in words.
 FUNCTION = "a an the this that these those some any each every all both no not if when while after before because since until although though as at by for from in into of on onto over to under with without within about between during through and or but nor so yet then than there here he she it they we you i his her its their our your my him them us me who whom whose what which where why how is are was were be been being am do does did has have had can could will would shall should may might must let suppose given find calculate determine compute solve show prove answer question problem example solution note explain describe consider how many much more most"
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
+#: How items are read: as they are, and in lower case.
+READINGS = 2
+SLOTS = f"('{NUMBER}', '{NAME}', '{UNIT}')"
 
 
-def _in(word: str, words: str) -> str:
-    return f"{word} IN ({', '.join(repr(w) for w in sorted(set(words.split())))})"
+def _words(text: Column) -> Column:
+    """Words without punctuation, one space between them."""
+    bare = F.regexp_replace(text, r"[^\p{L}\p{N}\s\p{Z}]+", "")
+    return F.trim(F.regexp_replace(bare, r"[\s\p{Z}]+", " "))
 
 
-# Of word x at i: t, where a name follows a word that doesn't end a sentence, and m, where what a word is does not depend on the sentence around it.
-BEFORE = "words[i - 1]"
-KINDS = f"""struct(x.p AS p, CASE
-  WHEN x.d THEN '{NUMBER}'
-  WHEN i > 0 AND x.c AND NOT {BEFORE}.w RLIKE '[.!?:|]["\\')\\\\]]*$' THEN '{NAME}'
-  WHEN i > 0 AND {BEFORE}.d AND {_in('x.p', UNITS)} THEN '{UNIT}'
-  ELSE x.p END AS t, CASE
-  WHEN x.d OR {_in('x.p', NUMBERS)} THEN '{NUMBER}'
-  WHEN x.c AND NOT {_in('x.p', FUNCTION)} THEN '{NAME}'
-  WHEN i > 0 AND {_in('x.p', UNITS)} AND ({BEFORE}.d OR {_in(BEFORE + '.p', NUMBERS)}) THEN '{UNIT}'
-  ELSE x.p END AS m)"""
-SLOTS = f"('{NUMBER}', '{NAME}', '{UNIT}')"
+def _marked(words: Column) -> Column:
+    """The same words in lower case, with placeholders for numbers, names and units; all in passes over the whole text."""
+    either = lambda names: "(?i:" + "|".join(dict.fromkeys(names.split())) + ")(?= |$)"
+    out = F.regexp_replace(words, f"(?<![^ ])(?:[^ 0-9]*+[0-9][^ ]*+|{either(NUMBERS)})", NUMBER)
+    out = F.regexp_replace(out, rf"(?<![^ ])(?=\p{{Lu}}\p{{Ll}})(?!{either(FUNCTION)})[^ ]++", NAME)
+    return F.lower(F.regexp_replace(out, f"{NUMBER} {either(UNITS)}", f"{NUMBER} {UNIT}"))
+
 
+def _tokens(df: DataFrame, text: str) -> DataFrame:
+    """Adds ``tokens``; a run of names is one."""
+    return df.withColumn("tokens", F.split(F.regexp_replace(_marked(_words(F.col(text))), f"{NAME}(?: {NAME})+", NAME), " "))
 
-def _templates(df: DataFrame, plain: bool) -> DataFrame:
-    """Replaces ``raw`` by ``tokens`` (of each reading) and, if asked, ``plain`` (the words behind them), both without bare punctuation."""
-    cap = r"'^[^\\p{L}\\p{N}]*\\p{Lu}\\p{Ll}'"
-    words = df.withColumn("words", F.expr(f"transform(raw, w -> struct(w AS w, {PLAIN} AS p, w RLIKE '[0-9]' AS d, w RLIKE {cap} AS c))")).drop("raw")
-    kinds = words.withColumn("kinds", F.expr(f"filter(transform(words, (x, i) -> {KINDS}), x -> x.t <> '')")).drop("words")
-    # Of a run of names the first stands for all.
-    later = f"(x.m = '{NAME}' AND i > 0 AND kinds[i - 1].m = '{NAME}')"
-    out = kinds.withColumn("tokens", F.expr(f"array(transform(kinds, x -> x.t), transform(kinds, x -> x.p), transform(filter(kinds, (x, i) -> NOT {later}), x -> x.m))"))
-    if plain:
-        runs = f"split(substring(array_join(transform(kinds, (x, i) -> concat(CASE WHEN {later} THEN '_' ELSE ' ' END, x.p)), ''), 2), ' ')"
-        out = out.withColumn("plain", F.expr(f"array(transform(kinds, x -> x.p), transform(kinds, x -> x.p), {runs})"))
-    return out.drop("kinds")
+
+def _filled(df: DataFrame, text: str) -> DataFrame:
+    """Adds ``tokens`` and ``plain``, the words behind each of them."""
+    words = df.withColumn("w", _words(F.col(text))).withColumn("m", F.split(_marked(F.col("w")), " ")).withColumn("w", F.split(F.lower("w"), " "))
+    later = f"(x = '{NAME}' AND i > 0 AND m[i - 1] = '{NAME}')"
+    runs = f"split(substring(array_join(transform(m, (x, i) -> concat(CASE WHEN {later} THEN '_' ELSE ' ' END, w[i])), ''), 2), ' ')"
+    return words.withColumns({"tokens": F.expr(f"filter(m, (x, i) -> NOT {later})"), "plain": F.expr(runs)}).drop("w", "m")
 
 
 def _windows(df: DataFrame, lengths: list[int], keep: list[str]) -> DataFrame:
-    """One row a window of each reading and length: ``keep``, its place and the hash of its reading, length and tokens. Words are hashed once each."""
-    hashed = df.select(*keep, F.posexplode(F.expr("transform(tokens, r -> transform(r, t -> xxhash64(t)))")).alias("reading", "hs"))
-    each = [f"transform(sequence(0, size(hs) - {k}), i -> struct(i AS at, {k} AS k, xxhash64(reading, {k}, slice(hs, i + 1, {k})) AS h))" for k in lengths]
-    sets = [f"CASE WHEN size(hs) >= {k} THEN {e} END" for k, e in zip(lengths, each)]
+    """One row a window of each length: ``keep``, its place and the hash of its length and tokens. Words are hashed once each."""
+    hashed = df.select(*keep, F.expr("transform(tokens, t -> xxhash64(t))").alias("hs"))
+    sets = []
+    for k in lengths:
+        window = f"xxhash64({k}, {', '.join(f'get(hs, i + {j})' for j in range(k))})"
+        sets.append(f"CASE WHEN size(hs) >= {k} THEN transform(sequence(0, size(hs) - {k}), i -> struct(i AS at, {k} AS k, {window} AS h)) END")
     if len(sets) > 1:
         sets = [f"coalesce({e}, array())" for e in sets]
     out = hashed.select(*keep, F.explode(F.expr(f"concat({', '.join(sets)})" if len(sets) > 1 else sets[0])).alias("x"))
@@ -106,17 +96,22 @@ def _windows(df: DataFrame, lengths: list[int], keep: list[str]) -> DataFrame:
 
 
 def _benchmark(items: DataFrame, id: str, text: str) -> DataFrame:
-    """Windows of the items: item, n (windows of the item), at, k, h and what fills each slot; without those that are mostly slots."""
+    """Windows of the items: item, row (item and reading), n (windows of it), at, k, h and what fills each slot; without those that are mostly slots.
+
+    Items are dealt over all tasks, and their tokens are settled before windows are
+    made of them, so a benchmark of long items costs time in proportion.
+    """
+    spark = items.sparkSession
     own = items.select(F.col(f"`{id}`").alias("item"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
-    own = _templates(_with_tokens(own, "t"), plain=True).select("item", "row", F.posexplode(F.arrays_zip("tokens", "plain")).alias("reading", "x"))
-    own = own.select("item", (F.col("row") * len(READINGS) + F.col("reading")).alias("row"), "reading", "x.tokens", "x.plain").where(F.size("tokens") >= SHORTEST)
-    k = F.least(F.size("tokens"), F.lit(WINDOW))
-    own = own.withColumn("k", k).withColumn("hs", F.expr("transform(tokens, t -> xxhash64(t))"))
-    own = own.withColumn("w", F.expr("transform(sequence(0, size(hs) - k), i -> struct(i AS at, xxhash64(reading, k, slice(hs, i + 1, k)) AS h, slice(tokens, i + 1, k) AS tokens, slice(plain, i + 1, k) AS plain))"))
-    own = own.withColumn("w", F.expr(f"filter(w, x -> size(filter(x.tokens, t -> t NOT IN {SLOTS})) >= {LITERAL})"))
-    own = own.withColumn("n", F.size("w")).where("n > 0")
-    out = own.select("item", "row", "n", "k", F.explode("w").alias("x")).select("item", "row", "n", "k", "x.at", "x.h", "x.plain", F.expr(f"transform(x.tokens, t -> t IN {SLOTS})").alias("slot"))
-    return out.withColumn("slots", F.expr("size(filter(slot, s -> s))"))
+    own = cut_lineage(own.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row"))
+    low = F.lower("t")
+    read = own.select("item", (F.col("row") * READINGS).alias("row"), "t").union(own.where(F.col("t") != low).select("item", F.col("row") * READINGS + 1, low))
+    own = cut_lineage(_filled(read, "t").where(F.size("tokens") >= SHORTEST).withColumn("hs", F.expr("transform(tokens, t -> xxhash64(t))")))
+    own = own.select("*", F.least(F.size("tokens"), F.lit(WINDOW)).alias("k")).withColumn("at", F.explode(F.expr("sequence(0, size(tokens) - k)")))
+    out = own.withColumn("slot", F.expr(f"transform(slice(tokens, at + 1, k), t -> t IN {SLOTS})")).withColumn("slots", F.expr("size(filter(slot, s -> s))")).where(F.col("k") - F.col("slots") >= LITERAL)
+    hashes = F.coalesce(*[F.when(F.col("k") == k, F.expr(f"xxhash64({k}, {', '.join(f'get(hs, at + {j})' for j in range(k))})")) for k in range(SHORTEST, WINDOW + 1)])
+    out = cut_lineage(out.select("item", "row", "k", "at", hashes.alias("h"), F.expr("slice(plain, at + 1, k)").alias("plain"), "slot", "slots"))
+    return out.join(out.groupBy("row").agg(F.count(F.lit(1)).cast("int").alias("n")), "row")
 
 
 def _matches(df: DataFrame, items: DataFrame, text: str, item_id: str, item_text: str) -> DataFrame:
@@ -126,18 +121,20 @@ def _matches(df: DataFrame, items: DataFrame, text: str, item_id: str, item_text
     rows = bench.count()
     send = F.broadcast if rows * 400 <= SMALL_BYTES else (lambda x: x)
     source = df.select(F.unhex(F.md5("t")).alias("key"), "t")
-    windows = _windows(_templates(_with_tokens(source, "t"), plain=False), lengths, ["key"])
+    windows = _windows(_tokens(source, "t"), lengths, ["key"])
     thin = bench.select(F.col("h").alias("bh"), F.col("k").alias("bk"), "item", "row", "n", F.col("at").alias("iat"), "slots")
     met = windows.join(send(thin), (F.col("h") == F.col("bh")) & (F.col("k") == F.col("bk")))
     met = cut_lineage(met.select("key", "item", "row", "n", "iat", "slots", "at").distinct())
 
-    # What fills the slots, for the texts that have any: read again, as they are few.
+    # What fills the slots, for the texts that have any: read again, as they are few; of equal texts each task gives one.
     slotted = met.where("slots > 0")
-    filled = source.join(slotted.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-    filled = _templates(_with_tokens(filled, "t"), plain=True).select("key", "plain")
+    keys = slotted.select("key").distinct()
+    one = lambda texts: texts.groupBy("key").agg(F.any_value("t").alias("t"))
+    filled = one(source.join(F.broadcast(keys), "key", "left_semi")) if keys.count() * 64 <= SMALL_BYTES else one(source).join(keys, "key", "left_semi")
+    filled = _filled(filled, "t").select("key", "plain")
     ours = bench.where("slots > 0").select("row", F.col("at").alias("iat"), F.col("plain").alias("iplain"), "slot", "k")
     fills = "transform(filter(arrays_zip(iplain, slot, p), x -> x.slot), x -> struct(x.iplain AS theirs, x.p AS ours))"
-    read = slotted.join(filled, "key").join(ours, ["row", "iat"]).withColumn("p", F.expr(f"slice(plain[CAST(row % {len(READINGS)} AS int)], at + 1, k)")).select("key", "item", "row", "n", "iat", "at", F.expr(fills).alias("fills"))
+    read = slotted.join(filled, "key").join(ours, ["row", "iat"]).withColumn("p", F.expr("slice(plain, at + 1, k)")).select("key", "item", "row", "n", "iat", "at", F.expr(fills).alias("fills"))
     bare = met.where("slots = 0").select("key", "item", "row", "n", "iat", "at", F.expr("CAST(array() AS array<struct<theirs: string, ours: string>>)").alias("fills"))
     own = F.expr("forall(fills, x -> x.theirs = x.ours)")
     # The whole text, the line of an unbroken copy, and two rows of bands that hold copies with words put in or left out.
@@ -156,8 +153,8 @@ def _matches(df: DataFrame, items: DataFrame, text: str, item_id: str, item_text
     best = F.max(F.struct("windows", (-F.col("scope")).alias("s"), (-F.col("place")).alias("p"), "slot_values", "conflicts")).alias("b")
     found = found.groupBy("key", "item", "row", "n").agg(best).select("key", "item", "row", "n", "b.*")
     # Of the readings the first that shows a leak.
-    first = F.max(F.struct((F.col("windows") >= _need()).alias("leak"), (-(F.col("row") % len(READINGS))).alias("reading"), "n", "windows", "slot_values", "conflicts")).alias("b")
-    return found.groupBy("key", "item", F.floor(F.col("row") / len(READINGS)).alias("row")).agg(first).select("key", "item", "row", "b.n", "b.windows", "b.slot_values", "b.conflicts")
+    first = F.max(F.struct((F.col("windows") >= _need()).alias("leak"), (-(F.col("row") % READINGS)).alias("reading"), "n", "windows", "slot_values", "conflicts")).alias("b")
+    return found.groupBy("key", "item", F.floor(F.col("row") / READINGS).alias("row")).agg(first).select("key", "item", "row", "b.n", "b.windows", "b.slot_values", "b.conflicts")
 
 
 def _need():
@@ -176,9 +173,14 @@ def _key(text: str):
 
 
 def report(df: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """One row for each row of ``df`` and item that it leaks."""
-    found = leaks(df, items, text, item_id).withColumnsRenamed({"key": "__key", "item": item_id})
-    return df.select(F.col(f"`{id}`"), _key(text).alias("__key")).join(found, "__key").drop("__key")
+    """One row for each row of ``df`` and item that it leaks; a leaking text that many rows hold is dealt to many parts."""
+    found = cut_lineage(leaks(df, items, text, item_id).withColumnsRenamed({"key": "__key", "item": item_id}))
+    rows = df.select(F.col(f"`{id}`"), _key(text).alias("__key"))
+    if found.count() * 200 <= SMALL_BYTES // 4:
+        return rows.join(F.broadcast(found), "__key").drop("__key")
+    copies = rows.groupBy("__key").agg(F.count(F.lit(1)).alias("copies"))
+    left, right = deal(rows, cut_lineage(found.join(copies, "__key")), "__key", "copies", F.xxhash64(F.col(f"`{id}`")))
+    return left.join(right, ["__key", "__part"]).drop("__key", "__part", "copies")
 
 
 def remove(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id") -> DataFrame:
