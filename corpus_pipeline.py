@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from dotweave.llm import bagminhash, mixing, quality, shards, templates
-from dotweave.llm.common import table
+from dotweave.llm.common import shared_folder, table
 from dotweave.llm.queries import document_path, tokenizer_path, training_part
 
 #: Sequences that the last stage shuffles among themselves; the mix holds from one such window to the next.
@@ -51,10 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{place}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+    for k, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            shards.release(spark, f"{folder}/{k - 1}")  # the shards are written
+            return out
+        out.write.parquet(f"{folder}/{k}")
+        if k:
+            shards.release(spark, f"{folder}/{k - 1}")
         docs = spark.read.parquet(f"{folder}/{k}")
-    return STAGES[-1][1](spark, docs, sf_dir)

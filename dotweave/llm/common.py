@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -39,16 +40,25 @@ def map_text(df: DataFrame, keep: list[str], text: str, added: str, rows: Callab
     return source.mapInArrow(run, schema)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialises ``df`` in the shared folder of spark.checkpoint.dir, so a lost executor costs no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: that of spark.checkpoint.dir.
 
-    Without that setting (tests) a folder under the warehouse is used.
+    Without that setting one under the warehouse is used on a local master; a
+    cluster must name it, as an executor's own disk is lost with it.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    place = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if place is None:
+        if not re.fullmatch(r"local(\[[^-].*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        place = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+    return place
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialises ``df`` in the shared folder, so a lost executor costs no recomputation."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        place = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-        context.setCheckpointDir(place)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -7,28 +7,37 @@ place in training order without a sort, a table or a counter. Places are split
 into ranges; each range is a run of shards whose sequences lie at multiples of
 one stride, so any place is one seek away and reading resumes anywhere.
 
+Shards are written by Spark's own writer (one record a sequence, its bytes and one
+byte that ends it), so they may lie in any store Spark writes to, and a task that is
+lost or runs twice leaves one copy. They are read back by Spark's binary reader.
+
 With ``window`` the permutation acts inside windows of that many sequences, so an
 order made before (a mix of sources) still holds from window to window.
 
-Edge cases: null and empty texts give their mark alone; the last sequence is
-filled with marks; an empty table gives no sequence; repeated rows are encoded
-each; ids and other columns are not read.
+Edge cases: null and empty texts give their mark alone; a text of any length is
+encoded whole and spread over as many sequences as it fills; the last sequence is
+filled with marks; an empty table gives no sequence and no shard; repeated rows are
+encoded each; ids and other columns are not read, so their names don't matter. Where
+a table isn't in the order of its files (behind a repartition, say), texts go by file
+split, then by task, then as they stand in it.
 """
 
 from __future__ import annotations
 
-import os
+import json
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dotweave.llm.common import cut_lineage
+from dotweave.llm.common import cut_lineage, shared_folder
 
 LENGTH = 1024
 PER_SHARD = 4096
@@ -96,69 +105,66 @@ def _turn(which: np.ndarray, window: int, key: int) -> np.ndarray:
 
 
 def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """(segment, part, start, n, ids): little-endian 16-bit ids of each text and its mark, and where they start in their file split.
+    """(segment, part, task, start, n, ids): little-endian 16-bit ids of each text and its mark, and where they start in what the task has read of their file split.
 
     (segment, part) orders the splits as they are stored; a table that isn't read
-    from files has its Spark partitions for splits.
+    from files has none.
     """
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body")
     try:
         source = df.select(F.col("_metadata.file_path").alias("segment"), F.col("_metadata.file_block_start").alias("part"), body)
     except AnalysisException:
-        source = df.select(F.lit("").alias("segment"), F.spark_partition_id().cast("bigint").alias("part"), body)
+        source = df.select(F.lit("").alias("segment"), F.lit(0).cast("bigint").alias("part"), body)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoding(path)
-        now, total = None, 0
+        task = TaskContext.get().partitionId()
+        totals: dict[tuple, int] = {}
         for batch in batches:
             segments, parts = batch.column("segment").to_pylist(), batch.column("part").to_pylist()
             starts, sizes, ids = [], [], []
             for place, one in zip(zip(segments, parts), batch.column("body").to_pylist()):
-                if place != now:
-                    now, total = place, 0
                 got = np.array(encoder.encode_ordinary(one) + [MARK], "<u2")
-                starts.append(total)
+                starts.append(totals.get(place, 0))
                 sizes.append(len(got))
                 ids.append(got.tobytes())
-                total += len(got)
-            yield pa.RecordBatch.from_arrays([batch.column("segment"), batch.column("part"), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], names=["segment", "part", "start", "n", "ids"])
+                totals[place] = starts[-1] + len(got)
+            yield pa.RecordBatch.from_arrays([batch.column("segment"), batch.column("part"), pa.array([task] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], names=["segment", "part", "task", "start", "n", "ids"])
 
-    return source.mapInArrow(run, "segment string, part bigint, start bigint, n bigint, ids binary")
+    return source.mapInArrow(run, "segment string, part bigint, task int, start bigint, n bigint, ids binary")
 
 
-def _shared(df: DataFrame) -> str:
-    """A new folder in the shared place that the cluster names."""
-    spark = df.sparkSession
-    place = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{place}/tokens-{uuid.uuid4().hex}"
+#: Where the parts of the stream begin is sent to all executors up to so many parts.
+SMALL = 1_000_000
 
 
-def sequences(df: DataFrame, path: str, text: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, window: int | None = None, parts: int | None = None) -> DataFrame:
-    """(slot, shard, byte_offset, n_tokens, ids) of every sequence; partitions follow one another in training order, rows inside them too.
+def _dealt(df: DataFrame, folder: str, path: str, text: str, length: int, per_shard: int, key: int, window: int | None, parts: int | None) -> tuple[DataFrame | None, dict]:
+    """The sequences (slot, ids), partitions one after another in training order, rows inside them too; and what is to be known of them.
 
-    The encoded stream is written once to the shared folder, so texts are encoded
-    once and a lost executor repeats only its own part; one shuffle deals the pieces
-    to the ranges of their slots.
+    The encoded stream is written once to ``folder``, so texts are encoded once and
+    a lost executor repeats only its own part; one shuffle deals the pieces to the
+    ranges of their slots.
     """
     spark = df.sparkSession
-    folder = _shared(df)
     encode(df, path, text).write.option("compression", "zstd").parquet(folder)
     stream = spark.read.parquet(folder)
-    # One row a file split: bounded by the number of splits, as Spark's own task list on the driver is.
-    splits = cut_lineage(stream.groupBy("segment", "part").agg(F.sum("n").alias("n"), F.max(F.col("start") + F.col("n")).alias("end")))
-    if splits.where("n <> end").limit(1).count():
-        raise ValueError("two splits of the table share a name, so their texts would overlap")
-    base = splits.select("segment", "part", F.expr("sum(n) OVER (ORDER BY segment, part) - n").alias("base"))
-    total = splits.agg(F.sum("n")).first()[0] or 0
+    # One row a file split and task that read of it; in a scan that is one row a split.
+    runs = cut_lineage(stream.groupBy("segment", "part", "task").agg(F.sum("n").alias("n")))
+    # One row a split, as many as Spark's own task list on the driver has.
+    splits = runs.groupBy("segment", "part").agg(F.sum("n").alias("n")).select("segment", "part", F.expr("sum(n) OVER (ORDER BY segment, part) - n").alias("before"))
+    base = runs.join(splits, ["segment", "part"]).select("segment", "part", "task", (F.col("before") + F.expr("sum(n) OVER (PARTITION BY segment, part ORDER BY task) - n")).alias("base"))
+    total = runs.agg(F.sum("n")).first()[0] or 0
     size = -(-total // length)
     if not size:
-        return spark.createDataFrame([], "slot bigint, shard bigint, byte_offset bigint, n_tokens int, ids binary")
+        return None, {"size": 0}
     shards = -(-size // per_shard)
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     last, rest = int(training_slot(np.array([size - 1]), size, key, window)[0]), total - (size - 1) * length
-    per_part = -(-shards // parts) * per_shard if shards >= parts else -(-size // parts)
+    # Whole shards a partition, so each file of the writer is one shard.
+    per_part = -(-shards // parts) * per_shard
     parts = -(-size // per_part)
-    met = stream.join(F.broadcast(base), ["segment", "part"]).select((F.col("base") + F.col("start")).alias("at"), "ids")
+    base = F.broadcast(base) if runs.count() <= SMALL else base
+    met = stream.join(base, ["segment", "part", "task"]).select((F.col("base") + F.col("start")).alias("at"), "ids")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Cuts runs of neighbouring texts at the bounds of sequences."""
@@ -196,9 +202,7 @@ def sequences(df: DataFrame, path: str, text: str = "text", length: int = LENGTH
             wrong = [s for s, b in zip(slots, bodies) if len(b) != 2 * (rest if s == last else length)]
             if wrong:
                 raise ValueError(f"sequence at {wrong[0]} has not the length that the splits add up to")
-            shard = slot // per_shard
-            full = [b + MARK.to_bytes(2, "little") * (length - len(b) // 2) for b in bodies]
-            made = pa.RecordBatch.from_arrays([pa.array(slot), pa.array(shard), pa.array((slot - shard * per_shard) * 2 * length), pa.array([len(b) // 2 for b in bodies], pa.int32()), pa.array(full, pa.binary())], names=["slot", "shard", "byte_offset", "n_tokens", "ids"])
+            made = pa.RecordBatch.from_arrays([pa.array(slot), pa.array([b + MARK.to_bytes(2, "little") * (length - len(b) // 2) for b in bodies], pa.binary())], names=["slot", "ids"])
             slots.clear()
             bodies.clear()
             return made
@@ -222,46 +226,67 @@ def sequences(df: DataFrame, path: str, text: str = "text", length: int = LENGTH
                 raise ValueError(f"{seen} sequences from {first} on where the splits add up to {min(per_part, size - low)}")
 
     dealt = met.mapInArrow(pieces, "target int, slot bigint, offset int, body binary").repartitionById(parts, "target").sortWithinPartitions("slot", "offset")
-    return dealt.select("slot", "body").mapInArrow(join, "slot bigint, shard bigint, byte_offset bigint, n_tokens int, ids binary")
+    facts = {"size": size, "last": last, "rest": rest, "length": length, "per_shard": per_shard, "shards_a_part": per_part // per_shard}
+    return dealt.select("slot", "body").mapInArrow(join, "slot bigint, ids binary"), facts
 
 
-def write_shards(found: DataFrame, folder: str, length: int = LENGTH) -> DataFrame:
-    """Writes the sequences to ``folder`` (a path that all executors mount) as shard-N.bin and gives (shard, sequences, bytes).
+def write_shards(df: DataFrame, path: str, folder: str, text: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, window: int | None = None, parts: int | None = None) -> None:
+    """Encodes ``df`` and writes its shards below ``folder``: files of ``per_shard`` records of ``stride(length)`` bytes in training order, and what is to be known of them."""
+    spark = df.sparkSession
+    scratch = f"{folder}-tokens"
+    found, facts = _dealt(df, scratch, path, text, length, per_shard, key, window, parts)
+    if found is not None:
+        found.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", per_shard).text(f"{folder}/shards")
+    spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.text(f"{folder}/facts")
+    release(spark, scratch)  # the stream has served
 
-    A partition writes its share of a shard at its offsets, so a task that runs
-    again writes the same bytes to the same places.
-    """
-    os.makedirs(folder, exist_ok=True)
-    stride = 2 * length
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, int] = {}
-        file, now = None, None
+def release(spark: SparkSession, folder: str) -> None:
+    """Empties a folder of Parquet files that was written for one job only."""
+    spark.createDataFrame([], "done int").write.mode("overwrite").parquet(folder)
+
+
+def stride(length: int) -> int:
+    return 2 * length + 1
+
+
+def read_shards(spark: SparkSession, folder: str, first: int = 0, count: int | None = None) -> DataFrame:
+    """(slot, shard, byte_offset, n_tokens, ids) of the sequences from place ``first`` on, as a reader resumes: only the shards that hold them are listed."""
+    facts = json.loads(spark.read.text(f"{folder}/facts").first()[0])
+    size = facts["size"]
+    end = size if count is None else min(size, first + count)
+    if first >= end:
+        return spark.createDataFrame([], "slot bigint, shard bigint, byte_offset bigint, n_tokens int, ids binary")
+    length, per_shard, each = facts["length"], facts["per_shard"], facts["shards_a_part"]
+    files = spark.read.format("binaryFile")
+    if (first, end) != (0, size) and end - first <= 64 * per_shard:
+        names = [f"part-{k // each:05d}-*-c{k % each:03d}.txt" for k in range(first // per_shard, (end - 1) // per_shard + 1)]
+        files = files.option("pathGlobFilter", f"{{{','.join(names)}}}")
+    last, rest, step = facts["last"], facts["rest"], stride(length)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, offset, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "byte_offset", "ids"))):
-                if shard != now:
-                    if file is not None:
-                        os.close(file)
-                    file, now = os.open(os.path.join(folder, f"shard-{shard:06d}.bin"), os.O_WRONLY | os.O_CREAT, 0o644), shard
-                os.pwrite(file, ids, offset)
-                counts[shard] = counts.get(shard, 0) + 1
-        if file is not None:
-            os.close(file)
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["shard", "sequences"])
-
-    done = cut_lineage(found.mapInArrow(run, "shard bigint, sequences bigint"))
-    return done.groupBy("shard").agg(F.sum("sequences").alias("sequences")).withColumn("bytes", F.col("sequences") * stride)
-
-
-def read_range(folder: str, first: int, count: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> np.ndarray:
-    """``count`` sequences from place ``first`` on, as a reader resumes: one seek, then sequential reads."""
-    out = []
-    while count > 0:
-        shard, k = divmod(first, per_shard)
-        n = min(count, per_shard - k)
-        got = np.fromfile(os.path.join(folder, f"shard-{shard:06d}.bin"), "<u2", n * length, offset=2 * length * k)
-        out.append(got.reshape(-1, length))
-        if len(out[-1]) < n:
-            break
-        first, count = first + n, count - n
-    return np.concatenate(out) if out else np.zeros((0, length), "<u2")
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                split, nth = map(int, re.search(r"part-(\d+)-.*-c(\d+)\.txt$", path).groups())
+                shard = split * each + nth
+                data = np.frombuffer(content.as_buffer(), np.uint8)
+                held = len(data) // step
+                if held != min(per_shard, size - shard * per_shard) or len(data) != held * step:
+                    raise ValueError(f"shard {shard} holds {len(data)} bytes")
+                data = data.reshape(held, step)[:, :-1]
+                for i in range(0, held, 2048):
+                    some = np.ascontiguousarray(data[i : i + 2048])
+                    n = len(some)
+                    slot = shard * per_shard + i + np.arange(n)
+                    ids = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1, dtype=np.int32) * (step - 1)).tobytes()), pa.py_buffer(some.tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(np.full(n, shard)), pa.array((i + np.arange(n)) * step), pa.array(np.where(slot == last, rest, length).astype(np.int32)), ids], names=["slot", "shard", "byte_offset", "n_tokens", "ids"])
+
+    out = files.load(f"{folder}/shards").select("path", "content").mapInArrow(rows, "slot bigint, shard bigint, byte_offset bigint, n_tokens int, ids binary")
+    return out if (first, end) == (0, size) else out.where((F.col("slot") >= first) & (F.col("slot") < end))
+
+
+def sequences(df: DataFrame, path: str, text: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, window: int | None = None, parts: int | None = None) -> DataFrame:
+    """Writes the shards to a new folder in the shared place and gives what they hold, read back."""
+    folder = f"{shared_folder(df.sparkSession)}/shards-{uuid.uuid4().hex}"
+    write_shards(df, path, folder, text, length, per_shard, key, window, parts)
+    return read_shards(df.sparkSession, folder)

@@ -284,24 +284,40 @@ def _path():
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def _wanted(texts, length=32):
+    encoder = shards._encoding(_path())
+    stream = [t for x in texts for t in [*encoder.encode_ordinary(x or ""), shards.MARK]]
+    size = -(-len(stream) // length)
+    n = len(stream) - (size - 1) * length
+    stream += [shards.MARK] * (size * length - len(stream))
+    slots = shards.permute(np.arange(size), size)
+    return {int(s): stream[length * i : length * i + length] for i, s in enumerate(slots)}, int(slots[-1]), n
+
+
+def _ids(rows):
+    return {r["slot"]: np.frombuffer(r["ids"], "<u2").tolist() for r in rows}
+
+
 def test_shards_hold_the_stream(spark, tmp_path):
     rng = random.Random(6)
-    texts = [" ".join(_text(rng, rng.randrange(0, 200))) for _ in range(60)] + ["", None, "same", "same"]
-    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "docs"))
+    texts = [" ".join(_text(rng, rng.randrange(0, 200))) for _ in range(60)] + ["", None, "same", "same", " ".join(_text(rng, 9000))]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").withColumns({"ids": F.lit("clash"), "slot": F.lit(1)}).coalesce(1).write.parquet(str(tmp_path / "docs"))
     df = spark.read.parquet(str(tmp_path / "docs"))
-    found = shards.sequences(df, _path(), length=32, per_shard=16).persist()
-    rows = found.collect()
-    encoder = shards._encoding(_path())
-    stream = [t for x in texts for t in [*encoder.encode_ordinary(x or ""), shards.MARK]]
-    size = -(-len(stream) // 32)
-    stream += [shards.MARK] * (size * 32 - len(stream))
-    want = {int(s): stream[32 * i : 32 * i + 32] for i, s in enumerate(shards.permute(np.arange(size), size))}
-    assert {r["slot"]: np.frombuffer(r["ids"], "<u2").tolist() for r in rows} == want and len(rows) == size
-    assert [r["slot"] for r in rows] == sorted(want)
-    made = shards.write_shards(found, str(tmp_path / "out"), length=32).collect()
-    assert sum(r["sequences"] for r in made) == size
-    back = shards.read_range(str(tmp_path / "out"), 5, size, length=32, per_shard=16)
-    assert back.tolist() == [want[s] for s in range(5, size)]
+    want, last, n = _wanted(texts)
+    shards.write_shards(df, _path(), str(tmp_path / "out"), length=32, per_shard=16)
+    rows = shards.read_shards(spark, str(tmp_path / "out")).collect()
+    assert _ids(rows) == want and len(rows) == len(want)
+    assert {r["slot"]: r["n_tokens"] for r in rows} == {s: n if s == last else 32 for s in want}
+    # What any reader of the files finds at a place.
+    files = sorted((tmp_path / "out" / "shards").glob("part-*.txt"))
+    assert len(files) == -(-len(want) // 16)
+    for r in rows[::7]:
+        with open(files[r["shard"]], "rb") as file:
+            file.seek(r["byte_offset"])
+            assert file.read(64) == r["ids"]
+    for first, count in ((5, 40), (0, 1), (len(want) - 3, 99), (len(want), 1)):
+        got = shards.read_shards(spark, str(tmp_path / "out"), first, count).collect()
+        assert _ids(got) == {s: x for s, x in want.items() if first <= s < first + count}
     assert shards.sequences(df.where("false"), _path()).count() == 0
 
 
@@ -314,11 +330,31 @@ def test_files_of_one_name_in_several_folders(spark, tmp_path):
         (made,) = (tmp_path / f"made{k}").glob("part-*.parquet")
         made.rename(tmp_path / "docs" / f"lang=l{k}" / "part-0.parquet")
     rows = shards.sequences(spark.read.parquet(str(tmp_path / "docs")), _path(), length=32, per_shard=16).collect()
+    assert _ids(rows) == _wanted([x for some in texts for x in some])[0]
+
+
+@pytest.mark.parametrize("how", ["repartitioned", "sorted", "made", "splits"])
+def test_texts_of_any_layout_are_encoded_once(spark, tmp_path, how):
+    """The stream holds each text whole, in whatever order, and nothing else."""
+    rng = random.Random(10)
+    texts = [f"{i} " + " ".join(_text(rng, rng.randrange(0, 90))) for i in range(200)]
+    made = spark.createDataFrame([(t,) for t in texts], "text string")
+    made.repartition(3).write.option("parquet.block.size", 4096).parquet(str(tmp_path / "docs"))
+    df = made if how == "made" else spark.read.parquet(str(tmp_path / "docs"))
+    df = {"repartitioned": lambda: df.repartition(4), "sorted": lambda: df.orderBy("text")}.get(how, lambda: df)()
+    rows = _ids(shards.sequences(df, _path(), length=32, per_shard=16).collect())
+    size = len(rows)
+    order = {int(s): i for i, s in enumerate(shards.permute(np.arange(size), size))}
+    stream = [t for s in sorted(rows, key=order.get) for t in rows[s]]
     encoder = shards._encoding(_path())
-    stream = [t for some in texts for x in some for t in [*encoder.encode_ordinary(x), shards.MARK]]
-    size = -(-len(stream) // 32)
-    stream += [shards.MARK] * (size * 32 - len(stream))
-    assert {r["slot"]: np.frombuffer(r["ids"], "<u2").tolist() for r in rows} == {int(s): stream[32 * i : 32 * i + 32] for i, s in enumerate(shards.permute(np.arange(size), size))}
+    back, now = [], []
+    for t in stream:
+        if t == shards.MARK:
+            back.append(encoder.decode(now))
+            now = []
+        else:
+            now.append(t)
+    assert Counter(x for x in back if x) == Counter(texts) and not now
 
 
 def test_pipeline(spark):
