@@ -270,6 +270,38 @@ def test_mixed_rows_are_whole(spark):
     assert mixing.mixed(df.where("false"), block=1000).count() == 0
 
 
+def test_places_match_a_plain_schedule(spark, monkeypatch):
+    """Every source's rows fill its blocks without a gap; blocks stand where a slot-by-slot scheduler puts them; no source strays by a block."""
+    monkeypatch.setattr(mixing, "RANGE", 3000)
+    rng = random.Random(12)
+    rows = [(i, None if i % 17 == 0 else "x" * rng.randrange(0, 300), rng.choice(["hot", "hot", "hot", "b", "c", None])) for i in range(1200)] + [(1, None, "b"), (None, "1", "b"), (5000, "y" * 2500, "c")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumns({"grp": F.lit("clash"), "size": F.lit(1)})
+    weights = {"hot": 2.0, "b": 1.0, "c": 0.5, None: 0.7}
+    got = mixing.place(df, weights=weights, block=500).collect()
+    assert Counter(str(r["row"]) for r in got) == Counter(map(str, df.collect()))
+    totals = {}
+    for s in {r["grp"] for r in got}:
+        at = 0
+        for r in sorted((r for r in got if r["grp"] == s), key=lambda r: r["start"]):
+            assert r["start"] == at and r["block"] == at // 500 and r["size"] == len(r["row"]["text"] or "") + 1
+            at += r["size"]
+        totals[s] = -(-at // 500)
+    order = _edf(totals, {"" if s is None else f"={s}": w for s, w in weights.items()}, mixing.PERIOD)
+    slot = {b: t for t, b in enumerate(order)}
+    assert all(slot[r["grp"], r["block"]] == r["slot"] for r in got) and {r["slots"] for r in got} == {len(order)}
+    first = min(max(t for t, (s, _) in enumerate(order) if s == x) for x in totals)  # until a source has been read
+    for s, w in weights.items():
+        counts = np.cumsum([x == ("" if s is None else f"={s}") for x, _ in order[:first]])
+        assert np.abs(counts - np.arange(1, first + 1) * w / sum(weights.values())).max() < 1
+
+
+def test_blocks_grow_with_the_corpus(spark, monkeypatch):
+    assert mixing.block_size(10**9) == mixing.BLOCK and mixing.block_size(10**14) == 10**8
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 10)
+    df = spark.createDataFrame([(i, "x" * 99, f"s{i % 3}") for i in range(300)], "doc_id bigint, text string, source string")
+    assert max(r["slot"] for r in mixing.positions(df, block=500).collect()) < 13
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 5, 64, 65, 1000, 4097])
 def test_permutation(size):
     assert sorted(shards.permute(np.arange(size), size).tolist()) == list(range(size))
