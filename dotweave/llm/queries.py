@@ -59,9 +59,9 @@ def document_file() -> Column:
 
 
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No row of the table is named as a licence file, so a directory takes the licence of the first document below it that declares one."""
+    """A directory has a licence if a document in it says nothing else."""
     scanned = cut_lineage(licences.scan(table(spark, sf_dir, "documents"), document_file(), keep=["doc_id"]))
-    return licences.inherit(scanned, licences.first_declared(scanned, "doc_id"))
+    return licences.inherit(scanned, licences.licence_files(scanned, "doc_id"))
 
 
 def op9_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,10 +150,11 @@ words AS (SELECT r, l, w AS word, count(*) AS n FROM (SELECT r, l, unnest(regexp
 norms AS (SELECT r, l, sqrt(sum(power(n * coalesce(x, {other!r}), 2))) AS norm FROM words LEFT JOIN idf USING (word) GROUP BY r, l),
 cosines AS (SELECT r, l, rank, licence, round(sum(n * v) / any_value(norm), 9) AS cosine FROM words JOIN norms USING (r, l) JOIN part USING (word) GROUP BY r, l, rank, licence),
 best AS (SELECT r, max(cosine) AS cosine, arg_max(licence, {{'a': cosine, 'b': rank}}) AS licence FROM cosines GROUP BY r),
-scanned AS (SELECT d.r, doc_id, path, CASE WHEN cosine >= {licences.LEAST} THEN licence END AS own, coalesce(cosine, 0) AS cosine FROM docs d LEFT JOIN best USING (r)),
+spoken AS (SELECT r, count(*) FILTER (NOT regexp_matches(line, '{licences.HEADER_CUE}') AND regexp_matches(line, '[^ \t\r]')) AS others FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM docs) GROUP BY r),
+scanned AS (SELECT d.r, doc_id, path, CASE WHEN cosine >= {licences.LEAST} THEN licence END AS own, coalesce(cosine, 0) AS cosine, others = 0 AS speaks FROM docs d LEFT JOIN best USING (r) JOIN spoken USING (r)),
 up AS (SELECT *, string_split(path, '/') AS p FROM scanned),
-levels AS (SELECT r, k, array_to_string(p[1:k], '/') AS directory, doc_id, own FROM up, (VALUES (1), (2), (3)) AS v(k)),
-directories AS (SELECT directory, arg_min(own, {{'a': doc_id, 'b': own}}) AS licence FROM levels WHERE own IS NOT NULL GROUP BY directory),
+levels AS (SELECT r, k, array_to_string(p[1:k], '/') AS directory, own FROM up, (VALUES (1), (2), (3)) AS v(k)),
+directories AS (SELECT array_to_string(p[1:3], '/') AS directory, arg_min(own, {{'a': doc_id, 'b': own}}) AS licence FROM up WHERE own IS NOT NULL AND speaks GROUP BY directory),
 near AS (SELECT r, arg_max({{'d': l.directory, 'licence': d.licence}}, k) AS got FROM levels l JOIN directories d USING (directory) WHERE own IS NULL GROUP BY r)
 SELECT doc_id, path, own, cosine, coalesce(own, got.licence) AS licence, CASE WHEN own IS NULL THEN got.d END AS origin FROM scanned LEFT JOIN near USING (r)
 """

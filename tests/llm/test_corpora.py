@@ -178,7 +178,7 @@ def test_licences(spark):
     ]
     df = spark.createDataFrame(rows, "path string, text string").withColumn("own", F.lit("clash"))
     scanned = licences.scan(df, F.col("path")).persist()
-    files = licences.licence_files(scanned, F.col("path").rlike(licences.LICENCE_FILE), "path")
+    files = licences.licence_files(scanned, "path")
     got = {r["path"]: (r["licence"], r["origin"]) for r in licences.inherit(scanned, files).collect()}
     assert got["repo/src/a.py"] == ("MIT", "repo") and got["repo/src/b.py"] == ("Apache-2.0", None)
     assert got["repo/sub/deep/er/c.py"] == ("GPL-3.0", "repo/sub") and got["other/d.py"] == (None, None) == got["other/e.py"]
@@ -208,6 +208,39 @@ def test_ordinary_licence_headers(spark):
     assert [got[f"r/{i}.py"] for i in range(len(cases))] == list(cases.values())
 
 
+def test_whole_licences(spark):
+    text = licences.HEADERS
+    mit = "MIT License\n\nCopyright (c) 2020 Foo Bar\n\n" + text["MIT/all"].replace(". ", ".\n\n")
+    bsd = "Copyright (c) 2020, Foo Bar\nAll rights reserved.\n\n" + text["BSD-3-Clause/all"].replace(". ", ".\n\n")
+    terms = "\n\n".join(f"{i}. Terms of this kind follow, of which a word here and there is like another in what was said before ({i})." for i in range(60))
+    cases = {
+        "a/LICENSE": (mit, "MIT"), "b/LICENSE": (bsd, "BSD-3-Clause"), "c/COPYING": (text["GPL-3.0/title"].replace(" Version", "\n Version") + "\n\nPreamble\n\n" + terms, "GPL-3.0"),
+        "d/COPYING": (text["AGPL-3.0/title"] + "\n\n" + terms, "AGPL-3.0"), "e/COPYING.LESSER": (text["LGPL-2.1/title"] + "\n\n" + terms, "LGPL-2.1"), "f/LICENSE": (text["Apache-2.0/title"] + "\n\n" + terms, "Apache-2.0"),
+        "g/x.py": (text["AGPL-3.0/all"].replace(". ", ".\n"), "AGPL-3.0"), "h/x.txt": ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"), "i/NOTICE": (text["Apache-2.0/all"], "Apache-2.0"),
+    }
+    df = spark.createDataFrame([(k, v[0]) for k, v in cases.items()], "path string, text string")
+    got = {r["path"]: (r["own"], r["file"]) for r in licences.scan(df, F.col("path")).collect()}
+    assert got == {k: (v[1], True) for k, v in cases.items()}
+
+
+def test_no_licence_is_invented(spark):
+    """A declaration in a long text is its own affair; a text that is a licence speaks for what lies below its directory, and no more."""
+    prose = "\n".join("words of no such kind at all, and many of them" for _ in range(20))
+    rows = [("s/en/0/1", prose + "\nReleased under the MIT License."), ("s/en/0/2", prose), ("s/en/1/3", "Released under the MIT License."), ("s/en/1/4", prose), ("s/en/1/5", None), ("s/de/1/6", prose), ("s/7", "plain")] + [("s/en/1/3", "Released under the MIT License.")]
+    scanned = licences.scan(spark.createDataFrame(rows, "path string, text string"), F.col("path")).persist()
+    got = {r["path"]: (r["licence"], r["origin"]) for r in licences.inherit(scanned, licences.licence_files(scanned, "path")).collect()}
+    assert got == {"s/en/0/1": ("MIT", None), "s/en/0/2": (None, None), "s/en/1/3": ("MIT", None), "s/en/1/4": ("MIT", "s/en/1"), "s/en/1/5": ("MIT", "s/en/1"), "s/de/1/6": (None, None), "s/7": (None, None)}
+
+
+def test_many_directories(spark, monkeypatch):
+    monkeypatch.setattr(licences, "SMALL", 0)
+    monkeypatch.setattr("dotweave.llm.common.HEAVY", 5)
+    rows = [("hot/LICENSE", "Released under the MIT License.")] + [(f"hot/{i}.py", "x") for i in range(200)] + [(f"d{i}/a.py", "x") for i in range(20)]
+    scanned = licences.scan(spark.createDataFrame(rows, "path string, text string"), F.col("path")).persist()
+    got = Counter(r["licence"] for r in licences.inherit(scanned, licences.licence_files(scanned, "path")).collect())
+    assert got == {"MIT": 201, None: 20}
+
+
 def _edf(blocks, weights, period):
     """Plain slot-by-slot earliest deadline first, phase by phase."""
     left, done, out = dict(blocks), dict.fromkeys(blocks, 0), []
