@@ -5,17 +5,20 @@ footer, advert or the like leaves a gap of empty lines. Text lengths are summed
 over sliding windows of lines; a window that rises to the threshold is a surge
 point, an all-empty window is a dive point, and the lines between are kept.
 
-Where a page marks its article (``article`` or ``main``), lines outside it
-count as empty, so the surge and dive points fall on its bounds and short
-paragraphs inside survive; articles that hold less than a third of the text are
-teasers and mark nothing. Elsewhere short lines between kept blocks are kept too, and
-sentences directly behind one.
+Mark-up only weighs lines. Where a page marks its article (``article`` or ``main``),
+a line inside counts ``INSIDE`` times its length and one outside nothing, so the
+same threshold makes surge and dive points fall on its bounds and short paragraphs
+inside survive; articles that hold less than a third of the text are teasers and
+mark nothing. On pages without one, lines that are mostly links count nothing; short
+lines between kept blocks are kept too, a heading directly before one, and sentences
+directly behind one.
 
 A class or id speaks for boilerplate only if the element holds no article; if the
 word is but a part of its name, only if the element holds at most half of the text.
 
 Edge cases: a null or empty page gives ''; a page cut off mid-tag is read to
-its end; a page whose windows all stay under the threshold keeps the run of
+its end; a page is read whole, however long, in time in proportion; other columns
+than those kept are not read; a page whose windows all stay under the threshold keeps the run of
 lines around its largest window; repeated pages give repeated rows.
 """
 
@@ -30,11 +33,14 @@ from dotweave.llm.common import map_text
 
 WINDOW = 3
 SURGE = 80
+#: How many times a character inside a marked article counts.
+INSIDE = 4
 
 # Element names of HTML by role.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 RAW = frozenset("script style textarea title noscript template svg math iframe object canvas audio video select noframes".split())
 SKIPPED = frozenset("nav footer aside form button dialog menu head label input".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 # Words in class or id that mark boilerplate wherever they stand, and those that do so outside the article only.
@@ -105,28 +111,30 @@ def _close(html: str, name: str, at: int) -> int:
     return len(html)
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, inside the article) of each line; gaps are empty lines."""
-    out: list[tuple[str, int, bool]] = []
+def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
+    """(text, characters outside links, inside the article, a heading) of each line; gaps are empty lines."""
+    out: list[tuple[str, int, bool, bool]] = []
     parts: list[str] = []
     plain = 0
+    heading = False
     inside = anchors = 0
     at = 0
     around = None  # the text of the page, or of the article that is open
 
     def flush() -> None:
-        nonlocal plain
+        nonlocal plain, heading
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((text, plain, inside > 0))
+                out.append((text, plain, inside > 0, heading))
             parts.clear()
             plain = 0
+        heading = False
 
     def gap() -> None:
         flush()
         if not inside:
-            out.extend([("", 0, False)] * WINDOW)
+            out.extend([("", 0, False, False)] * WINDOW)
 
     def take(raw: str) -> None:
         nonlocal plain
@@ -187,23 +195,25 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             parts.append(" ")
         elif tag in BLOCKS:
             flush()
+            heading = tag in HEADINGS
     flush()
     return out
 
 
 def main_text(html: str, window: int = WINDOW, surge: int = SURGE) -> str:
     lines = lines_of(html)
-    within = sum(plain for _, plain, inside in lines if inside)
-    marked = any(inside for _, _, inside in lines) and 2 * within >= sum(plain for _, plain, inside in lines if not inside)
-    # Outside a marked article, and for lines that are links only, the length is 0.
-    size = [len(t) if (inside if marked else 2 * plain >= len(t) or plain >= surge) else 0 for t, plain, inside in lines]
-    need = 1 if marked else surge
+    within = sum(plain for _, plain, inside, _ in lines if inside)
+    marked = any(inside for _, _, inside, _ in lines) and 2 * within >= sum(plain for _, plain, inside, _ in lines if not inside)
+    if marked:
+        size = [INSIDE * len(t) * inside for t, _, inside, _ in lines]
+    else:
+        size = [len(t) * (2 * plain >= len(t) or plain >= surge) for t, plain, _, _ in lines]
     sums = [sum(size[i : i + window]) for i in range(len(size))]
     n = len(size)
     chosen = [False] * n
     i = 0
     while i < n:
-        if size[i] == 0 or sums[i] < need:
+        if size[i] == 0 or sums[i] < surge:
             i += 1
             continue
         while i < n and sums[i] > 0:
@@ -211,6 +221,11 @@ def main_text(html: str, window: int = WINDOW, surge: int = SURGE) -> str:
             i += 1
     if not marked and any(chosen):
         first, last = chosen.index(True), n - 1 - chosen[::-1].index(True)
+        # Directly before: back to the heading, if one of the lines of a window is it.
+        above = first
+        while above > max(0, first - window) and size[above - 1]:
+            above -= 1
+        first = next((i for i in range(above, first) if lines[i][3]), first)
         for i in range(first, last):
             chosen[i] = size[i] > 0
         # Directly behind: the next run of lines, as far as they are sentences.
