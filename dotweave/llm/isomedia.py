@@ -5,9 +5,10 @@ nested boxes of any such container, decodes its sample tables and gives codec,
 duration and key-frame byte ranges without decoding a payload; ``payload``
 reads the stored samples back through the tables.
 
-Edge cases: empty and null texts give one frame of padding; a truncated,
-empty or foreign container gives no tracks rather than an error; repeated
-rows give repeated rows.
+Edge cases: empty and null texts give one frame of padding; a text of any length
+is stored whole (64-bit sizes beyond 4 GB); a truncated, empty or foreign container
+gives no tracks rather than an error; repeated rows give repeated rows; an empty table
+gives an empty one; only the kept columns and the text are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -184,7 +185,7 @@ def padded(text: str) -> tuple[int, bytes]:
 
 
 def store(df: DataFrame, keep: list[str], text: str = "text", media: bool = False) -> DataFrame:
-    """Stores each text as a container, reads it back and adds its digests and features; ``media`` adds the container itself."""
+    """Stores each text as a container, reads it back and adds its digests, features and all its key-frame byte ranges; ``media`` adds the container itself."""
 
     def rows(texts: list[str]):
         for one in texts:
@@ -204,8 +205,9 @@ def store(df: DataFrame, keep: list[str], text: str = "text", media: bool = Fals
                 },
                 sort_keys=True,
             )
-            digest = (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature)
+            ranges = list(zip(track["offsets"][keys].tolist(), track["sizes"][keys].tolist()))
+            digest = (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, [{"offset": a, "length": b} for a, b in ranges])
             yield (*digest, stored) if media else digest
 
-    added = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    added = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, keyframes array<struct<offset:bigint,length:bigint>>"
     return map_text(df, keep, text, added + ", media binary" * media, rows)
