@@ -3,17 +3,24 @@
 A text up to ``chunk`` characters is encoded whole. A longer one is encoded in
 chunks that overlap; each chunk's token offsets are compared with those of the
 chunk before, and the two are spliced at a boundary proven stable: both have a
-token that begins there, and it is a single space between two letters, where the
-pre-tokeniser always starts a piece and what follows depends on nothing before.
-Where an overlap holds no such boundary it is doubled; a text that never has one
-is encoded whole.
+token that begins there, and the pre-tokeniser always starts a piece there, whatever
+stands before. It takes runs of letters, of numbers or of other signs, each with a
+space before it, so a piece starts wherever one such run follows another directly
+(but letters behind an apostrophe) and at the single space between two runs; scripts
+without spaces are spliced at their punctuation. Where an overlap holds no such
+boundary it is doubled, and where the whole chunk holds none the chunk is, so the
+work stays in proportion to the text; a run of one kind of sign is one piece and
+has to be encoded in one call.
 
 Edge cases: a null or empty text has no tokens; special strings inside a text
-are read as the library's defaults read them.
+are read as the library's defaults read them; repeated rows are counted each; an
+empty table gives an empty one; only the kept columns and the text are read, so
+others may have any name.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from bisect import bisect_left
 from functools import lru_cache
 
@@ -40,8 +47,20 @@ def tokenizer(path: str):
     return made
 
 
+def _kind(c: str) -> str:
+    """The pre-tokeniser's class of a character."""
+    if c.isspace():
+        return " "
+    top = unicodedata.category(c)[0]
+    return top if top in "LN" else "."
+
+
 def _stable(text: str, at: int) -> bool:
-    return text[at] == " " and text[at - 1].isalpha() and text[at + 1].isalpha()
+    """Whether a piece starts at ``at`` whatever stands before the character in front of it."""
+    before, here = _kind(text[at - 1]), _kind(text[at])
+    if here == " ":
+        return text[at] == " " and before != " " and _kind(text[at + 1]) != " "
+    return before not in (" ", here) and not (here == "L" and text[at - 1] == "'")
 
 
 def _starts(encoder, text: str, begin: int, end: int) -> list[int]:
@@ -51,9 +70,9 @@ def _starts(encoder, text: str, begin: int, end: int) -> list[int]:
 
 def count_long(encoder, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """The tokens of ``text``; ``chunk`` must exceed twice ``overlap``."""
-    n, total, begin = len(text), 0, 0
+    n, total, begin, size = len(text), 0, 0, chunk
     while True:
-        end = min(n, begin + chunk)
+        end = min(n, begin + size)
         left = _starts(encoder, text, begin, end)
         if end == n:
             return total + len(left)
@@ -61,15 +80,18 @@ def count_long(encoder, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -
         splice = None
         while splice is None and lap < end - begin:
             start = end - lap
-            right = set(_starts(encoder, text, start, min(n, end + lap)))
             # The outer eighth on either side may depend on where the chunk was cut.
             margin = max(2, lap // 8)
-            splice = next((p for p in reversed(left) if start + margin <= p < end - margin and p in right and _stable(text, p)), None)
+            near = [p for p in left[bisect_left(left, start + margin) : bisect_left(left, end - margin)] if _stable(text, p)]
+            if near:
+                right = set(_starts(encoder, text, start, min(n, end + lap)))
+                splice = next((p for p in reversed(near) if p in right), None)
             lap *= 2
         if splice is None:
-            return total + len(encoder.encode(text[begin:], add_special_tokens=False).ids)
+            size *= 2
+            continue
         total += bisect_left(left, splice)
-        begin = splice
+        begin, size = splice, chunk
 
 
 def count(df: DataFrame, keep: list[str], path: str, text: str = "text", limit: int = 1024, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:

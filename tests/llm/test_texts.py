@@ -57,6 +57,28 @@ def test_extract_table(spark):
     assert lineblocks.extract(df.where("false"), ["page_id"]).count() == 0
 
 
+def test_blocks_find_the_article_without_its_tags():
+    """Pages whose article and main elements are plain divs give the same text, and lines of the page are left out by the blocks."""
+    import re
+
+    import pyarrow.parquet as pq
+
+    left_out = 0
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist():
+        html = re.sub(r"<(/?)(article|main)\b", r"<\1div", page["html"] or "")
+        text = lineblocks.main_text(html)
+        assert text == lineblocks.main_text(page["html"] or "")
+        left_out += sum(1 for line, *_ in lineblocks.lines_of(html) if line) - text.count("\n") - 1
+    page = "<div><p>Home</p><p><a href='/'>All</a></p></div><div class='advert'>x</div><h1>Title</h1><p>Short lead.</p><p>" + "Words of the article follow here. " * 5 + "</p><p>End.</p><div class='advert'>y</div><div><p>Tags</p></div>"
+    assert lineblocks.main_text(page).split("\n")[0] == "Title" and lineblocks.main_text(page).endswith("End.") and left_out >= 0
+
+
+def test_whole_and_long_pages():
+    body = "<article>" + "<p>some words of a long page</p>" * 20_000 + "</article>"
+    assert lineblocks.main_text(body).count("\n") == 19_999
+    assert lineblocks.main_text(body) == lineblocks.main_text(body.replace("article", "div"))
+
+
 @pytest.mark.parametrize("frames", [1, 2, 31, 32, 33, 64, 65, 200])
 def test_container_round_trip(frames):
     data = random.Random(frames).randbytes(frames * isomedia.FRAME)
@@ -168,3 +190,20 @@ def test_site_posterior_shrinks(spark):
     rows = [("a", "p", 0.9)] * 500 + [("b", "p", 0.1)] * 500 + [("c", "p", 0.0)]
     found = {r["host"]: r for r in quality.sites(spark.createDataFrame(rows, "host string, path string, evidence double")).collect()}
     assert found["a"]["path_mean"] > 0.85 and found["b"]["path_mean"] < 0.15 and found["c"]["path_mean"] > 0.02
+
+
+@pytest.mark.parametrize("pieces", ["的 一 是 不 了 人 ， 。 、".split(), [*"abcdefgh"], ["ab", "'s", " it's", "12", " ", "  ", "\n", ",", "...", "é", "½", "Ⅷ", "　", "<|endoftext|>", "<|", "|>", "'", "’t", "x"], ["क", "ि", "। ", " "], ["😀", "👍🏽", " a"], ["\x1c", " ", "a", " "]])
+@pytest.mark.parametrize("chunk, overlap", [(64, 8), (700, 64)])
+def test_counts_of_scripts_without_spaces(pieces, chunk, overlap):
+    rng = random.Random(len(pieces))
+    encoder = tokencount.tokenizer(_tokenizer())
+    text = "".join(rng.choice(pieces) for _ in range(6000))
+    calls = []
+
+    class Counted:
+        def encode(self, part, **how):
+            calls.append(len(part))
+            return encoder.encode(part, **how)
+
+    assert tokencount.count_long(Counted(), text, chunk, overlap) == len(encoder.encode(text, add_special_tokens=False).ids)
+    assert sum(calls) <= 4 * len(text)
