@@ -32,6 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -134,6 +135,8 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     return source.mapInArrow(run, "segment string, part bigint, task int, start bigint, n bigint, ids binary")
 
 
+#: How hard the stream is compressed, which costs less than the disk it takes.
+LEVEL = 9
 #: Where the parts of the stream begin is sent to all executors up to so many parts.
 SMALL = 1_000_000
 
@@ -146,7 +149,7 @@ def _dealt(df: DataFrame, folder: str, path: str, text: str, length: int, per_sh
     ranges of their slots.
     """
     spark = df.sparkSession
-    encode(df, path, text).write.option("compression", "zstd").parquet(folder)
+    encode(df, path, text).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", LEVEL).parquet(folder)
     stream = spark.read.parquet(folder)
     # One row a file split and task that read of it; in a scan that is one row a split.
     runs = cut_lineage(stream.groupBy("segment", "part", "task").agg(F.sum("n").alias("n")))
@@ -167,7 +170,8 @@ def _dealt(df: DataFrame, folder: str, path: str, text: str, length: int, per_sh
     met = stream.join(base, ["segment", "part", "task"]).select((F.col("base") + F.col("start")).alias("at"), "ids")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Cuts runs of neighbouring texts at the bounds of sequences."""
+        """Cuts runs of neighbouring texts at the bounds of sequences; pieces are shuffled compressed."""
+        packer = zstandard.ZstdCompressor()
         for batch in batches:
             at = batch.column("at").to_numpy()
             ids = batch.column("ids").to_pylist()
@@ -181,7 +185,7 @@ def _dealt(df: DataFrame, folder: str, path: str, text: str, length: int, per_sh
                 for x, y in zip(bounds[:-1], bounds[1:]):
                     index.append(x // length)
                     offset.append(x % length)
-                    body.append(run[2 * (x - first) : 2 * (y - first)])
+                    body.append(packer.compress(run[2 * (x - first) : 2 * (y - first)]))
             slot = training_slot(np.array(index, np.int64), size, key, window)
             for i in range(0, len(index), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array((slot[i : i + 4096] // per_part).astype(np.int32)), pa.array(slot[i : i + 4096]), pa.array(offset[i : i + 4096], pa.int32()), pa.array(body[i : i + 4096], pa.binary())], names=["target", "slot", "offset", "body"])
@@ -192,6 +196,7 @@ def _dealt(df: DataFrame, folder: str, path: str, text: str, length: int, per_sh
         seen = 0
         slots: list[int] = []
         bodies: list[bytes] = []
+        packer = zstandard.ZstdDecompressor()
         now, held = None, []
 
         def out() -> pa.RecordBatch:
@@ -214,7 +219,7 @@ def _dealt(df: DataFrame, folder: str, path: str, text: str, length: int, per_sh
                         slots.append(now)
                         bodies.append(b"".join(held))
                     now, held = slot, []
-                held.append(body)
+                held.append(packer.decompress(body))
             if len(slots) >= 2048:
                 yield out()
         if now is not None:
