@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dotweave.functions.materialise import settle
 from dotweave.operators import assign, cells, clustering, coexpression, community, components, graph, landmark, mask, neighbors, polygons, sct
 from dotweave.plans import derived
-from dotweave.plans.segmentation import Config, Segmentation, label_spots
+from dotweave.plans.segmentation import Config, Segmentation, communities_of_all, label_spots
 from dotweave.sources import spots as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,7 +36,10 @@ D3 = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) *
 
 
 def pairs(name: str, radius: float, d: str = D) -> str:
-    return f"{name} AS (SELECT a.image_id, a.spot_id AS src, b.spot_id AS dst, {d} AS d, a.gene AS ga, b.gene AS gb FROM spots a JOIN spots b ON a.image_id = b.image_id AND {d} <= {radius})"
+    """Pairs up to ``radius`` apart, met by squares of that size."""
+    square = f"CAST(floor(x / {radius}) AS BIGINT) AS gx, CAST(floor(y / {radius}) AS BIGINT) AS gy"
+    around = f"(SELECT s.* REPLACE (gx + u AS gx, gy + v AS gy) FROM (SELECT *, {square} FROM spots) s, (VALUES (-1), (0), (1)) AS i(u), (VALUES (-1), (0), (1)) AS j(v))"
+    return f"{name} AS (SELECT a.image_id, a.spot_id AS src, b.spot_id AS dst, {d} AS d, a.gene AS ga, b.gene AS gb FROM (SELECT *, {square} FROM spots) a JOIN {around} b ON a.image_id = b.image_id AND a.gx = b.gx AND a.gy = b.gy AND {d} <= {radius})"
 
 
 def nearest(name: str, of: str, k: int) -> str:
@@ -139,8 +142,9 @@ def proximity_vectors(spark, sf):
     return coexpression.proximity(derived.spots(spark, sf)).select("image_id", "src", "gene", r6("w"))
 
 
-def _coexpr(spark, sf):
-    return coexpression.correlation(settle(coexpression.proximity(derived.spots(spark, sf))))
+def _coexpr(spark, sf, spots=None):
+    spots = spots if spots is not None else settle(derived.spots(spark, sf))
+    return coexpression.correlation(settle(coexpression.proximity(spots)))
 
 
 @query(f"{W}, {COEXPR} SELECT gene_a, gene_b, round(corr, 6) + 0.0 AS corr FROM coexpr")
@@ -175,7 +179,7 @@ def deterministic_sample(spark, sf):
 
 def _edges(spark, sf, spots=None):
     spots = spots if spots is not None else settle(derived.spots(spark, sf))
-    return graph.spot_graph(spots, settle(_coexpr(spark, sf)), 10, derived.RADIUS)
+    return graph.spot_graph(spots, settle(_coexpr(spark, sf, spots)), 10, derived.RADIUS)
 
 
 @query(f"{W}, {WEIGHTED} SELECT image_id, src, dst, round(d, 6) AS distance, round(weight, 6) + 0.0 AS weight FROM weighted")
@@ -198,7 +202,7 @@ def prior_supernodes(spark, sf):
 
 @query(f"{W}, {FLAT}, {SUPER} SELECT f.image_id, least(a.super_id, b.super_id) AS src, greatest(a.super_id, b.super_id) AS dst, round(sum(weight), 6) + 0.0 AS weight FROM flat f JOIN super a ON a.image_id = f.image_id AND a.spot_id = src JOIN super b ON b.image_id = f.image_id AND b.spot_id = dst GROUP BY ALL")
 def supernode_edge_sum(spark, sf):
-    spots = derived.spots(spark, sf)
+    spots = settle(derived.spots(spark, sf))
     return graph.contract_sum(graph.undirected(_edges(spark, sf, spots)), graph.prior_supernodes(spots)).select("image_id", "src", "dst", r6("weight"))
 
 
@@ -227,13 +231,13 @@ def _part(spots):
 
 @query(f"{W}, {NEIGHBOR} SELECT image_id, node, com, round(w, 6) + 0.0 AS weight FROM nw")
 def neighbor_community_weights(spark, sf):
-    spots = derived.spots(spark, sf)
+    spots = settle(derived.spots(spark, sf))
     return graph.neighbor_weights(graph.undirected(_edges(spark, sf, spots)), _part(spots)).select("image_id", "node", "com", r6("weight"))
 
 
 @query(f"{W}, {NEIGHBOR}, most AS (SELECT *, max(w) OVER (PARTITION BY image_id, node) AS most FROM nw) SELECT m.image_id, m.node, m.com, round(CASE WHEN s.prior = 0 THEN 0 WHEN s.prior = m.com THEN most ELSE -most END, 6) + 0.0 AS term FROM most m JOIN spots s ON s.image_id = m.image_id AND s.spot_id = m.node")
 def prior_factor(spark, sf):
-    spots = derived.spots(spark, sf)
+    spots = settle(derived.spots(spark, sf))
     near = graph.neighbor_weights(graph.undirected(_edges(spark, sf, spots)), _part(spots))
     met = near.withColumn("most", F.expr("max(weight) OVER (PARTITION BY image_id, node)")).join(spots.select("image_id", F.col("spot_id").alias("node"), "prior"), ["image_id", "node"])
     return met.withColumn("term", graph.prior_term(F.col("com"), F.col("prior"), F.col("most"))).select("image_id", "node", "com", r6("term"))
@@ -245,20 +249,20 @@ deg AS (SELECT image_id, node, sum(w) AS k FROM (SELECT image_id, src AS node, w
 coms AS (SELECT d.image_id, com, sum(k) AS k FROM deg d JOIN part p ON p.image_id = d.image_id AND p.node = d.node GROUP BY ALL)
 SELECT c.image_id, round(sum(coalesce(l, 0) / m - (k / (2 * m)) * (k / (2 * m))), 6) + 0.0 AS modularity FROM coms c JOIN m ON m.image_id = c.image_id LEFT JOIN inner_ i ON i.image_id = c.image_id AND i.com = c.com GROUP BY ALL""")
 def modularity_score(spark, sf):
-    spots = derived.spots(spark, sf)
+    spots = settle(derived.spots(spark, sf))
     edges = settle(graph.undirected(_edges(spark, sf, spots)))
     return graph.modularity(edges, _part(spots)).select("image_id", r6("modularity"))
 
 
 @query()
 def louvain_with_prior(spark, sf):
-    spots = derived.spots(spark, sf)
+    spots = settle(derived.spots(spark, sf))
     return community.communities(settle(_edges(spark, sf, spots)), spots, with_prior=True)
 
 
 @query()
 def louvain_plain(spark, sf):
-    spots = derived.spots(spark, sf)
+    spots = settle(derived.spots(spark, sf))
     return community.communities(settle(_edges(spark, sf, spots)), spots, with_prior=False)
 
 
@@ -308,13 +312,13 @@ def sct_gene_filter(spark, sf):
     return sct.gene_filter(_counts(spark, sf), min_expr=1.01, min_cell=20)
 
 
-PARAMS = "params AS (SELECT gene, 1.5 + idx * 0.1 AS theta, -2.0 + idx * 0.01 AS b0, 0.9 AS b1 FROM (SELECT gene, row_number() OVER (ORDER BY gene) - 1 AS idx FROM (SELECT DISTINCT gene FROM counts)) WHERE idx % 2 = 0)"
+PARAMS = "params AS (SELECT gene, 1.5 + idx * 0.1 AS theta, -2.0 + idx * 0.01 AS b0, 0.9 AS b1 FROM (SELECT gene, row_number() OVER (ORDER BY gene) - 1 AS idx FROM (SELECT DISTINCT gene FROM counts)))"
 
 
 @query(f"{W}, {COUNTS}, {PARAMS}, kept AS (SELECT c.* FROM counts c JOIN params USING (gene)), rows_ AS (SELECT id, log10(sum(n)) AS umi FROM kept GROUP BY id), mu AS (SELECT r.id, p.gene, coalesce(k.n, 0) AS n, theta, exp(b0 + b1 * umi) AS mu FROM rows_ r CROSS JOIN params p LEFT JOIN kept k ON k.id = r.id AND k.gene = p.gene) SELECT id, gene, round((n - mu) / sqrt(mu + mu * mu / theta), 6) + 0.0 AS residual FROM mu")
 def sct_residuals_given_params(spark, sf):
     counts = settle(_counts(spark, sf))
-    params = sources.vocabulary(counts).where("gene_idx % 2 = 0").select("gene", (1.5 + F.col("gene_idx") * 0.1).alias("theta"), (-2.0 + F.col("gene_idx") * 0.01).alias("b0"), F.lit(0.9).alias("b1"))
+    params = sources.vocabulary(counts).select("gene", (1.5 + F.col("gene_idx") * 0.1).alias("theta"), (-2.0 + F.col("gene_idx") * 0.01).alias("b0"), F.lit(0.9).alias("b1"))
     return sct.residuals(counts, settle(params)).select("id", "gene", r6("residual"))
 
 
@@ -388,10 +392,11 @@ def merge_clusters_threshold(spark, sf):
     return merged.join(first, "merged").select("cluster", "root")
 
 
-@query(f"WITH {VEC}, k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS rn FROM far WHERE src % 5 = 0 AND dst % 5 <> 0), v AS (SELECT src, cb, sum(1 / d) AS w FROM k WHERE rn <= 10 GROUP BY ALL), t AS (SELECT *, sum(w) OVER (PARTITION BY src) AS total, row_number() OVER (PARTITION BY src ORDER BY round(w, 9) DESC, cb) AS rn FROM v) SELECT src AS id, cb AS cluster, round(w / total, 6) AS proba FROM t WHERE rn = 1")
+@query(f"WITH {VEC}, k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS rn FROM far), v AS (SELECT src, cb, sum(1 / d) AS w FROM k WHERE rn <= 10 GROUP BY ALL), t AS (SELECT *, sum(w) OVER (PARTITION BY src) AS total, row_number() OVER (PARTITION BY src ORDER BY round(w, 9) DESC, cb) AS rn FROM v) SELECT src AS id, cb AS cluster, round(w / total, 6) AS proba FROM t WHERE rn = 1")
 def classify_small_knn(spark, sf):
-    vectors = derived.vectors(spark, sf)
-    return clustering.classify(vectors.where("id % 5 = 0").drop("cluster"), vectors.where("id % 5 <> 0")).select("id", "cluster", r6("proba"))
+    """Every vector by its nearest labelled ones, itself left out."""
+    vectors = settle(derived.vectors(spark, sf))
+    return clustering.classify(vectors.drop("cluster"), vectors, exclude_self=True).select("id", "cluster", r6("proba"))
 
 
 @query(f"{W} SELECT image_id, spot_id, tile AS index_commu, CASE WHEN tile % 4 = 0 THEN '-1' ELSE CAST(tile % 4 AS VARCHAR) END AS label FROM spots")
@@ -458,7 +463,7 @@ def label_components(spark, sf):
     return components.label_components(links, nodes)
 
 
-def _paths(spark, sf, method="grouped"):
+def _paths(spark, sf, method="auto"):
     spots, centres, edges, nodes = _contracted(spark, sf)
     return spots, centres, assign.shortest_paths(edges, nodes, method=method)
 
@@ -511,7 +516,11 @@ def spots_export(spark, sf):
 
 @query(f"{CELLS} SELECT image_id, count(DISTINCT cell) AS cells, CAST(sum(n) AS BIGINT) AS rna FROM cellgene GROUP BY image_id")
 def union_images(spark, sf):
-    return cells.cell_genes(*_assigned(spark, sf)).groupBy("image_id").agg(F.count_distinct("cell").alias("cells"), F.sum("n").alias("rna"))
+    """Two runs, each over its own images, as one table."""
+    assigned, centres = _assigned(spark, sf)
+    assigned = settle(assigned)
+    runs = [cells.cell_genes(assigned.where(F.pmod(F.xxhash64("image_id"), F.lit(2)) == k), centres) for k in (0, 1)]
+    return communities_of_all(runs).groupBy("image_id").agg(F.count_distinct("cell").alias("cells"), F.sum("n").alias("rna"))
 
 
 def _outlined(spark, sf):
@@ -533,8 +542,9 @@ def cell_polygons_json(spark, sf):
 
 @query()
 def segment_cells(spark, sf):
-    """The whole dataflow, from spots to the cells' table."""
-    config = Config.of({"clustering_method": "kmeans", "return_polygon": False})
-    keep = [c for c in ("image_id", "spot_id", "x", "y", "gene", "prior")]
-    run = Segmentation(settle(derived.spots(spark, sf).select(*keep)), derived.centroids(spark, sf), config)
-    return run.result()["obs"].select("image_id", "cell", "n_rna", "n_genes")
+    """The whole dataflow with its defaults, from spots to the cells' table and outlines."""
+    keep = ["image_id", "spot_id", "x", "y", "gene", "prior"]
+    run = Segmentation(settle(derived.spots(spark, sf).select(*keep)), derived.centroids(spark, sf), Config.of({"allow_disconnected_polygon": True}))
+    out = run.run_all()
+    shapes = out["polygons"].select("image_id", "cell", r6("area"))
+    return out["obs"].select("image_id", "cell", "n_rna", "n_genes").join(shapes, ["image_id", "cell"], "left")

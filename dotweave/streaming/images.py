@@ -14,16 +14,16 @@ from dotweave.sources.spots import STEM
 def watch(spark: SparkSession, folder: str, schema: str, step: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, gene: str = "gene", files_per_batch: int = 100, once: bool = True) -> StreamingQuery:
     """Runs ``step`` over the spots of the image files that are new in ``folder`` and writes its result below ``out``.
 
-    A file is one image and arrives whole. The batch's number names its folder and
+    A file is one image and arrives whole; its spots are numbered in the order of the file, as ``read_spots`` does. The batch's number names its folder and
     a repeated batch replaces its own, so a restart leaves no image twice.
     """
     files = spark.readStream.option("header", True).option("maxFilesPerTrigger", files_per_batch).schema(schema).csv(folder)
-    spots = files.select(F.regexp_extract(F.col("_metadata.file_name"), STEM, 1).alias("image_id"), "*").withColumnRenamed(gene, "gene")
+    spots = files.select(F.regexp_extract(F.col("_metadata.file_name"), STEM, 1).alias("image_id"), F.col("_metadata.file_block_start").alias("__block"), "*").withColumnRenamed(gene, "gene")
 
     def batch(rows: DataFrame, number: int) -> None:
-        order = ", ".join(c for c in rows.columns if c != "image_id")
-        numbered = rows.withColumn("spot_id", F.expr(f"row_number() OVER (PARTITION BY image_id ORDER BY {order})").cast("bigint") - 1)
-        step(numbered).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        placed = rows.withColumn("__at", F.struct("__block", F.monotonically_increasing_id()))
+        numbered = placed.withColumn("spot_id", F.expr("row_number() OVER (PARTITION BY image_id ORDER BY __at)").cast("bigint") - 1)
+        step(numbered.drop("__block", "__at")).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     writer = spots.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
