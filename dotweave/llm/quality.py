@@ -9,8 +9,9 @@ site with few documents stays near the global prior. A document's score is its
 own odds with the global prior exchanged for its path's, which leaves the
 document itself out.
 
-Edge cases: a null text is the empty text; null hosts and paths are groups of
-their own; without labels of both kinds every score is the base rate (0.5 if
+Edge cases: a null text is the empty text; texts are read whole, however long; columns
+that aren't named are passed through (``reject``) or not read, whatever their names; null
+hosts and paths are groups of their own; an empty table gives an empty one; without labels of both kinds every score is the base rate (0.5 if
 there is none) and nothing is rejected; repeated rows count as often as they
 occur.
 """
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dotweave.llm.common import cut_lineage, map_text
+from dotweave.llm.common import cut_lineage, deal, map_text
 
 #: At most so many labelled rows are fitted.
 SAMPLE = 20_000
@@ -169,11 +170,17 @@ def posterior(p: Column) -> Column:
 
 
 def with_sites(scored: DataFrame, found: DataFrame) -> DataFrame:
-    """``scored`` (host, path, evidence and more) with the columns of its path and ``score``."""
+    """``scored`` (host, path, evidence and more) with the columns of its path and ``score``.
+
+    Many paths are joined by a shuffle, in which the rows of a very large one are dealt to many parts.
+    """
     found = found.withColumnsRenamed({"host": "site_host", "path": "site_path"})
     if found.count() <= SMALL:
-        found = F.broadcast(found)
-    met = scored.join(found, F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path")))
+        met = scored.join(F.broadcast(found), F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path")))
+    else:
+        named = lambda *names: F.to_json(F.array(*[F.col(c).cast("string") for c in names]))
+        left, right = deal(scored.withColumn("__site", named("host", "path")), found.withColumn("__site", named("site_host", "site_path")), "__site", "n", F.xxhash64("evidence", F.spark_partition_id()))
+        met = left.join(right, ["__site", "__part"]).drop("__site", "__part")
     return met.withColumn("score", posterior(F.col("evidence")))
 
 

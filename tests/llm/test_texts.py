@@ -207,3 +207,18 @@ def test_counts_of_scripts_without_spaces(pieces, chunk, overlap):
 
     assert tokencount.count_long(Counted(), text, chunk, overlap) == len(encoder.encode(text, add_special_tokens=False).ids)
     assert sum(calls) <= 4 * len(text)
+
+
+def test_many_paths_give_the_same_scores(spark, monkeypatch):
+    rng = random.Random(14)
+    rows = [("hot" if rng.random() < 0.6 else rng.choice(["a", "b", None]), rng.choice(["x", "y", None]), round(rng.random(), 3)) for _ in range(400)]
+    scored = spark.createDataFrame(rows, "host string, path string, evidence double").withColumn("id", F.lit("clash")).persist()
+    found = quality.sites(scored)
+    few = quality.with_sites(scored, found)
+    monkeypatch.setattr(quality, "SMALL", 0)
+    monkeypatch.setattr("dotweave.llm.common.HEAVY", 4)
+    many = quality.with_sites(scored, found)
+    assert sorted(few.columns) == sorted(many.columns)
+    names = ["host", "path", "evidence", "score"]
+    assert sorted(map(str, few.select(names).collect())) == sorted(map(str, many.select(names).collect()))
+    assert few.count() == 400 and quality.with_sites(scored.where("false"), found).count() == 0
