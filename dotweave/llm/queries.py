@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dotweave.llm import bagminhash, isomedia, licences, lineblocks, mixing, quality, shards, templates, tokencount, toxicity
+from dotweave.llm import bagminhash, isomedia, licences, lineblocks, merkle, mixing, quality, shards, templates, tokencount, toxicity
 from dotweave.llm.common import cut_lineage, table
 
 
@@ -75,7 +75,19 @@ def op10_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "source", document_path(), part=training_part())
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op2_mixed_sources, op3_near_duplicates, op4_html_main_text, op5_iso_media, op6_token_counts, op7_benchmark_leaks, op8_licences, op9_toxicity_scores, op10_quality_scores)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seventh of the rows is tampered with: one is added to n_chars before the leaf is checked."""
+    docs = table(spark, sf_dir, "documents")
+    named = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    changed = [F.col("n_chars") + 1 if k == 3 else c for k, c in enumerate(named)]
+    leaves = docs.select(merkle.group_key(F.col("lang")).alias("group"), "doc_id", merkle.leaf(named).alias("digest"), F.when(tampered, merkle.leaf(changed)).alias("tampered"))
+    proofs = merkle.manifest(leaves, ["doc_id"])
+    checked = merkle.folded(F.coalesce("tampered", "leaf"), F.col("proof"))
+    return proofs.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), checked.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_mixed_sources, op3_near_duplicates, op4_html_main_text, op5_iso_media, op6_token_counts, op7_benchmark_leaks, op8_licences, op9_toxicity_scores, op10_quality_scores, op11_merkle_manifest)}
 
 #: Exact weighted Jaccard of all pairs that share a shingle, then components; equal texts are one.
 NEAR_DUPLICATES = """
@@ -160,4 +172,42 @@ SELECT doc_id, path, own, cosine, coalesce(own, got.licence) AS licence, CASE WH
 """
 
 
-ORACLES: dict[str, str] = {"op3_near_duplicates": NEAR_DUPLICATES, "op7_benchmark_leaks": _benchmark_sql(), "op8_licences": _licences_sql()}
+#: The levels of all trees one after another, then every leaf's way up them; crc32 bit by bit.
+MERKLE = """
+WITH RECURSIVE leaves AS (
+  SELECT row_number() OVER () AS d, doc_id, lang, CASE WHEN lang IS NULL THEN '' ELSE '+' || lang END AS g, n_chars, {parts[0]} AS head, {parts[1]} AS tail FROM documents
+), hashed AS (
+  SELECT *, sha256(head || {count} || tail) AS leaf, sha256(head || {more} || tail) AS other,
+    doc_id IS NOT NULL AND xor(list_reduce(list_concat([4294967295], flatten([[ord(c), -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(CAST(doc_id AS VARCHAR), '')])),
+      lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, CAST(x AS BIGINT)) ELSE xor(acc >> 1, 3988292384 * (acc & 1)) END), 4294967295) % 7 = 0 AS hit FROM leaves
+), placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, count(*) OVER (PARTITION BY g) AS n FROM hashed),
+up(g, level, r, n, h) AS (
+  SELECT g, 0, r, n, leaf FROM placed UNION ALL
+  SELECT g, any_value(level) + 1, r // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY r)) FROM up WHERE n > 1 GROUP BY g, r // 2),
+subroots AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY encode(g)) - 1 AS r, count(*) OVER () AS n FROM up WHERE n = 1),
+over(level, r, n, h) AS (
+  SELECT 0, r, n, subroot FROM subroots UNION ALL
+  SELECT any_value(level) + 1, r // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY r)) FROM over WHERE n > 1 GROUP BY r // 2),
+top AS (SELECT h AS root FROM over WHERE n = 1),
+steps AS (
+  SELECT d, u.level AS step, (p.r >> u.level) & 1 AS place, v.h AS other FROM placed p JOIN up u ON u.g = p.g AND u.r = p.r >> u.level AND u.n > 1 LEFT JOIN up v ON v.g = u.g AND v.level = u.level AND v.r = xor(u.r, 1)
+  UNION ALL
+  SELECT d, 1000 + u.level, (s.r >> u.level) & 1, v.h FROM placed p JOIN subroots s USING (g) JOIN over u ON u.r = s.r >> u.level AND u.n > 1 LEFT JOIN over v ON v.level = u.level AND v.r = xor(u.r, 1)),
+ways AS (SELECT d, list({{'place': place, 'other': coalesce(other, '')}} ORDER BY step) AS way FROM steps GROUP BY d),
+ready AS (SELECT p.*, coalesce(way, []) AS way FROM placed p LEFT JOIN ways USING (d)),
+folds(d, k, h, way) AS (
+  SELECT d, 0, CASE WHEN hit THEN other ELSE leaf END, way FROM ready UNION ALL
+  SELECT d, k + 1, sha256(CASE WHEN way[k + 1].place = 1 THEN way[k + 1].other || h ELSE h || way[k + 1].other END), way FROM folds WHERE k < len(way)),
+ends AS (SELECT d, h AS folded_root FROM folds WHERE k = len(way))
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string([x.other FOR x IN way], '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM ready JOIN subroots USING (g) JOIN ends USING (d), top
+"""
+
+
+def _merkle_sql() -> str:
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE CAST(octet_length(encode(CAST({c} AS VARCHAR))) AS VARCHAR) || ':' || CAST({c} AS VARCHAR) END"
+    head = " || ".join(f"({field(c)})" for c in ("doc_id", "source", "lang"))
+    return MERKLE.format(parts=[head, field("text")], count=f"({field('n_chars')})", more=f"({field('(n_chars + 1)')})")
+
+
+ORACLES: dict[str, str] = {"op11_merkle_manifest": _merkle_sql(), "op3_near_duplicates": NEAR_DUPLICATES, "op7_benchmark_leaks": _benchmark_sql(), "op8_licences": _licences_sql()}
