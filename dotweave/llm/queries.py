@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dotweave.llm import bagminhash, isomedia, licences, lineblocks, merkle, mixing, quality, shards, templates, tokencount, toxicity
+from dotweave.llm import alignment, bagminhash, isomedia, licences, lineblocks, merkle, mixing, quality, shards, templates, tokencount, toxicity
 from dotweave.llm.common import cut_lineage, table
 
 
@@ -87,7 +87,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), checked.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op2_mixed_sources, op3_near_duplicates, op4_html_main_text, op5_iso_media, op6_token_counts, op7_benchmark_leaks, op8_licences, op9_toxicity_scores, op10_quality_scores, op11_merkle_manifest)}
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.score(table(spark, sf_dir, "documents"), ["doc_id"], tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_mixed_sources, op3_near_duplicates, op4_html_main_text, op5_iso_media, op6_token_counts, op7_benchmark_leaks, op8_licences, op9_toxicity_scores, op10_quality_scores, op11_merkle_manifest, op12_token_alignment)}
 
 #: Exact weighted Jaccard of all pairs that share a shingle, then components; equal texts are one.
 NEAR_DUPLICATES = """
