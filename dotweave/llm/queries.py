@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dotweave.llm import alignment, bagminhash, isomedia, licences, lineblocks, merkle, mixing, quality, shards, templates, tokencount, toxicity
+from dotweave.llm import alignment, bagminhash, isomedia, languages, licences, lineblocks, merkle, mixing, quality, shards, templates, tokencount, toxicity
 from dotweave.llm.common import cut_lineage, table
 
 
@@ -91,7 +91,14 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.score(table(spark, sf_dir, "documents"), ["doc_id"], tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op2_mixed_sources, op3_near_duplicates, op4_html_main_text, op5_iso_media, op6_token_counts, op7_benchmark_leaks, op8_licences, op9_toxicity_scores, op10_quality_scores, op11_merkle_manifest, op12_token_alignment)}
+def op13_language_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = languages.fit(docs, ~held)
+    return languages.predict(docs, model, ["doc_id"]).withColumn("held_out", F.coalesce(held, F.lit(False)))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_mixed_sources, op3_near_duplicates, op4_html_main_text, op5_iso_media, op6_token_counts, op7_benchmark_leaks, op8_licences, op9_toxicity_scores, op10_quality_scores, op11_merkle_manifest, op12_token_alignment, op13_language_mixtures)}
 
 #: Exact weighted Jaccard of all pairs that share a shingle, then components; equal texts are one.
 NEAR_DUPLICATES = """
