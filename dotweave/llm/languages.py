@@ -73,7 +73,8 @@ def _grams(text: str, buckets: int) -> np.ndarray:
             some = np.ones(m, dtype=bool)
             for k in range(1, size - 1):
                 some &= is_letter[k : k + m]
-            some &= is_letter[:m] | is_letter[size - 1 :]
+            if size == 2:
+                some &= is_letter[:m] | is_letter[1:]
         if size in SIZES:
             mixed = (hashed[some] + np.uint64(size)) * _MULTIPLIER
             found.append((mixed >> np.uint64(40)).astype(np.int64) % buckets)

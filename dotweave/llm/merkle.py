@@ -169,6 +169,7 @@ def prove(tree: Tree, requests: DataFrame, paths: DataFrame) -> DataFrame:
     """
     fanout, depth = tree.fanout, _depth(tree.fanout)
     width = fanout**depth
+    sizes = paths.select("group", "n")
     paths = paths.withColumn("block", F.lit(0).cast("bigint"))
     for s in reversed(range(max(tree.segments, 1))):
         if s:
@@ -178,8 +179,7 @@ def prove(tree: Tree, requests: DataFrame, paths: DataFrame) -> DataFrame:
         here = paths.withColumn("n", F.ceil(F.col("n") / width**s))
         paths = _walk(wanted, _occurrences(here, tree.records), fanout, depth)
         if s:
-            sizes = here.groupBy("group").agg(F.max("n").alias("n"))
-            paths = written(paths).join(sizes, "group").select("group", F.col("rank").alias("block"), (F.col("n") * width**s).alias("n"), "digest", F.col("proof").alias("above"))
+            paths = written(paths).join(sizes, "group").select("group", F.col("rank").alias("block"), "n", "digest", F.col("proof").alias("above"))
     return paths
 
 
