@@ -145,13 +145,24 @@ def test_alignment_equals_brute_force(spark):
     assert sum(v[0] == 0 for v in want.values()) >= 5 and max(v[3] for v in want.values()) > alignment.LARGE
 
 
-def test_large_groups_link_distinct_ids(monkeypatch):
+def test_parts_and_large_groups_change_nothing(monkeypatch):
+    """Texts cut at single spaces are aligned like whole ones, and groups linked by distinct ids like others."""
     a, b = alignment.byte_level(tokenizer_path(BYTE_LEVEL)), alignment.pieces(tokenizer_path(PIECES))
-    texts = ["    " * 40 + "a b" + "日本" * 30, "some plain words"]
-    plain = alignment.align(alignment.encode(texts, a, b), a[1], b[1])
+    assert alignment.separable(tokenizer_path(BYTE_LEVEL), tokenizer_path(PIECES))
+    rng = random.Random(8)
+    stock = ["the", "don't", "x's", "日本", "é", "...", "12,5", " ", "\n", "\t", "▁", "\U0001f600", "<s>", "\x1c", "\u2028", "ab-cd"]
+    texts = ["    " * 40 + "a b" + "日本" * 30, "some plain words", " a ", "  two", "end  ", " "] + [" ".join(rng.choice(stock) for _ in range(rng.randrange(1, 40))) for _ in range(150)]
+    same = lambda p, q: p[0] == q[0] and all((x == y).all() for x, y in zip(p[1], q[1]))
+    memo = alignment.Memo()
+    whole = alignment.aligned(texts, a, b, False, alignment.Memo())
+    assert same(whole, alignment.aligned(texts, a, b, True, memo)) and sum(r[0] == 0 for r in whole[0]) > 10
+    assert same(whole, alignment.aligned(texts, a, b, True, memo))  # now all are known
     monkeypatch.setattr(alignment, "LARGE", 1)
-    other = alignment.align(alignment.encode(texts, a, b), a[1], b[1])
-    assert plain[0] == other[0] and all((x == y).all() for x, y in zip(plain[1], other[1]))
+    memo = alignment.Memo()
+    assert same(whole, alignment.aligned(texts, a, b, True, memo))
+    monkeypatch.setattr(alignment, "TOGETHER", 30)
+    memo = alignment.Memo()
+    assert same(whole, alignment.aligned(texts, a, b, True, memo))
 
 
 def test_alignment_of_an_empty_table(spark):
