@@ -125,6 +125,14 @@ def radius_neighbors_grid(spark, sf):
     return neighbors.radius_pairs(points, points, derived.RADIUS, method="grid").select("image_id", "src", "dst", r6("distance"))
 
 
+@query(f"{W}, {PAIRS} SELECT image_id, count(*) AS pairs, CAST(sum(7 * src + 13 * dst) AS BIGINT) AS ids, round(sum(d), 3) AS far FROM pairs GROUP BY image_id")
+def radius_neighbor_sums(spark, sf):
+    """What radius_neighbors finds in each image, summed up."""
+    points = neighbors.as_points(derived.spots(spark, sf))
+    near = neighbors.radius_pairs(points, points, derived.RADIUS)
+    return near.groupBy("image_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum(7 * F.col("src") + 13 * F.col("dst")).alias("ids"), F.round(F.sum("distance"), 3).alias("far"))
+
+
 @query(f"{W}, {EDGES} SELECT image_id, src, dst, round(d, 6) AS distance FROM knn")
 def knn_edges(spark, sf):
     points = _points(spark, sf)
@@ -346,6 +354,23 @@ def knn_graph_vectors(spark, sf):
     return clustering.vector_knn(vectors, vectors, 20, exclude_self=True).select("src", "dst", r6("distance"))
 
 
+#: Each vector's scale by bisection, in one list_reduce; then the union of both directions.
+FUZZY = f"""WITH {VEC}, k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS rn FROM far),
+lists AS (SELECT src, list(d ORDER BY d, dst) AS ds, coalesce(min(d) FILTER (d > 0), 0) AS first, avg(d) AS mean FROM k WHERE rn <= 19 GROUP BY src),
+found AS (SELECT src, first, greatest(list_reduce(list_transform(range({clustering.HALVINGS + 1}), lambda i: {{'lo': CAST(0 AS DOUBLE), 'hi': CAST(-1 AS DOUBLE), 'mid': CAST(1 AS DOUBLE)}}),
+  lambda s, x: CASE WHEN list_sum([CASE WHEN e <= first THEN 1 ELSE exp(-(e - first) / s.mid) END FOR e IN ds]) > log2(20) THEN {{'lo': s.lo, 'hi': s.mid, 'mid': (s.lo + s.mid) / 2}}
+    WHEN s.hi < 0 THEN {{'lo': s.mid, 'hi': s.hi, 'mid': s.mid * 2}} ELSE {{'lo': s.mid, 'hi': s.hi, 'mid': (s.mid + s.hi) / 2}} END).mid, {clustering.LEAST_SCALE} * mean) AS scale FROM lists),
+seen AS (SELECT k.src, dst, CASE WHEN d <= first THEN 1 ELSE exp(-(d - first) / scale) END AS w FROM k JOIN found USING (src) WHERE rn <= 19),
+twice AS (SELECT src, dst, w AS a, 0 AS b FROM seen UNION ALL SELECT dst, src, 0, w FROM seen)
+SELECT src, dst, round(sum(a) + sum(b) - sum(a) * sum(b), 6) AS weight FROM twice GROUP BY src, dst"""
+
+
+@query(FUZZY)
+def fuzzy_neighbor_weights(spark, sf):
+    """The weighted neighbour graph that vectors are clustered on."""
+    return clustering.neighbor_graph(settle(derived.vectors(spark, sf))).select("src", "dst", r6("weight"))
+
+
 @query()
 def kmeans_clusters(spark, sf):
     return clustering.cluster(derived.vectors(spark, sf), "kmeans", n_clusters=10)
@@ -530,7 +555,15 @@ def _outlined(spark, sf):
     return assigned.where("cell_index_pred > 0").select("image_id", F.col("cell_index_pred").alias("cell"), "x", "y").join(kept, ["image_id", "cell"])
 
 
-@query()
+#: A hull's edges have no point on their right and, on their line, none outside; its area is theirs.
+HULL = f"""{CELLS}, p AS (SELECT DISTINCT a.image_id, cell_index_pred AS cell, x, y FROM assigned a JOIN (SELECT DISTINCT image_id, cell FROM cellgene) k ON k.image_id = a.image_id AND k.cell = a.cell_index_pred),
+e AS (SELECT a.image_id, a.cell, a.x AS ax, a.y AS ay, b.x AS ux, b.y AS uy, b.x - a.x AS dx, b.y - a.y AS dy FROM p a JOIN p b ON a.image_id = b.image_id AND a.cell = b.cell AND (a.x <> b.x OR a.y <> b.y)),
+s AS (SELECT e.*, min(dx * (y - ay) - dy * (x - ax)) AS lowest, max(CASE WHEN abs(dx * (y - ay) - dy * (x - ax)) <= 1e-9 AND ((x - ax) * dx + (y - ay) * dy < -1e-9 OR (x - ax) * dx + (y - ay) * dy > dx * dx + dy * dy + 1e-9) THEN 1 ELSE 0 END) AS beyond FROM e JOIN p USING (image_id, cell) GROUP BY ALL),
+h AS (SELECT image_id, cell, sum(ax * uy - ux * ay) / 2 AS area FROM s WHERE lowest >= -1e-9 AND beyond = 0 GROUP BY image_id, cell)
+SELECT image_id, cell, round(area, 6) + 0.0 AS area FROM h WHERE area > 1e-9"""
+
+
+@query(HULL)
 def cell_hull_area(spark, sf):
     return polygons.outlines(_outlined(spark, sf), alpha=0).select("image_id", "cell", r6("area"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from dotweave.sources.spots import STEM
+from dotweave.sources.spots import STEM, numbered
 
 
 def watch(spark: SparkSession, folder: str, schema: str, step: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, gene: str = "gene", files_per_batch: int = 100, once: bool = True) -> StreamingQuery:
@@ -18,12 +18,10 @@ def watch(spark: SparkSession, folder: str, schema: str, step: Callable[[DataFra
     a repeated batch replaces its own, so a restart leaves no image twice.
     """
     files = spark.readStream.option("header", True).option("maxFilesPerTrigger", files_per_batch).schema(schema).csv(folder)
-    spots = files.select(F.regexp_extract(F.col("_metadata.file_name"), STEM, 1).alias("image_id"), F.col("_metadata.file_block_start").alias("__block"), "*").withColumnRenamed(gene, "gene")
+    spots = files.select(F.regexp_extract(F.col("_metadata.file_name"), STEM, 1).alias("image_id"), F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start")).alias("__split"), "*").withColumnRenamed(gene, "gene")
 
     def batch(rows: DataFrame, number: int) -> None:
-        placed = rows.withColumn("__at", F.struct("__block", F.monotonically_increasing_id()))
-        numbered = placed.withColumn("spot_id", F.expr("row_number() OVER (PARTITION BY image_id ORDER BY __at)").cast("bigint") - 1)
-        step(numbered.drop("__block", "__at")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        step(numbered(rows.withColumn("__at", F.monotonically_increasing_id()))).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     writer = spots.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
