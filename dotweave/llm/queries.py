@@ -127,7 +127,7 @@ def _benchmark_sql() -> str:
     slots = "('<n>', '<name>', '<u>')"
     later = "(m[i] = '<name>' AND i > 1 AND m[i - 1] = '<name>')"
     return rf"""
-WITH texts AS (SELECT 'd' AS side, t, CAST(NULL AS BIGINT) AS item, row_number() OVER () AS r FROM (SELECT DISTINCT coalesce(text, '') AS t FROM documents)),
+WITH texts AS (SELECT 'd' AS side, t, CAST(NULL AS BIGINT) AS item, row_number() OVER () AS r FROM (SELECT DISTINCT t FROM (SELECT coalesce(text, '') AS t FROM documents UNION ALL SELECT lower(text) FROM documents WHERE regexp_matches(text, '{templates.TITLES}')))),
 given AS (SELECT coalesce(text, '') AS t, item_id AS item, 2 * row_number() OVER () AS r FROM benchmark),
 every AS (SELECT * FROM texts UNION ALL SELECT 'b', t, item, r FROM given UNION ALL SELECT 'b', lower(t), item, r + 1 FROM given WHERE lower(t) <> t),
 words AS (SELECT side, t, item, r, string_split(trim(regexp_replace(regexp_replace(t, '[^\p{{L}}\p{{N}}\s\p{{Z}}]+', '', 'g'), '[\s\p{{Z}}]+', ' ', 'g')), ' ') AS w FROM every),
@@ -155,9 +155,13 @@ checked AS (SELECT d, r, scope, place, count(*) AS slot_values, count(*) FILTER
 found AS (SELECT d, item, r, n, scope, place, count(*) AS found, count(*) FILTER (own) AS literal FROM each GROUP BY ALL),
 judged AS (SELECT f.*, coalesce(slot_values, 0) AS slot_values, coalesce(conflicts, 0) AS conflicts, CASE WHEN coalesce(conflicts, 0) = 0 THEN found ELSE literal END AS windows FROM found f LEFT JOIN checked USING (d, r, scope, place)),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY d, r ORDER BY windows DESC, scope, place, slot_values DESC, conflicts DESC) AS rn FROM judged) WHERE rn = 1),
-leaks AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY d, r // 2 ORDER BY r) AS nth FROM best WHERE windows >= greatest(1, least({templates.ENOUGH}, ceil(n * {templates.SHARE})))) WHERE nth = 1)
-SELECT o.doc_id, l.item AS item_id, l.windows, CAST(l.n AS BIGINT) AS item_windows, l.slot_values, l.conflicts
-FROM leaks l JOIN texts t ON t.r = l.d JOIN documents o ON coalesce(o.text, '') = t.t
+leaks AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY d, r // 2 ORDER BY r) AS nth FROM best WHERE windows >= greatest(1, least({templates.ENOUGH}, ceil(n * {templates.SHARE})))) WHERE nth = 1),
+docs AS (SELECT row_number() OVER () AS o, doc_id, coalesce(text, '') AS t FROM documents),
+hits AS (
+  SELECT o, doc_id, l.*, 0 AS reading FROM docs JOIN texts x ON x.t = docs.t JOIN leaks l ON l.d = x.r UNION ALL
+  SELECT o, doc_id, l.*, 1 FROM docs JOIN texts x ON x.t = lower(docs.t) AND x.t <> docs.t JOIN leaks l ON l.d = x.r WHERE regexp_matches(docs.t, '{templates.TITLES}'))
+SELECT doc_id, item AS item_id, windows, CAST(n AS BIGINT) AS item_windows, slot_values, conflicts
+FROM (SELECT *, row_number() OVER (PARTITION BY o, r // 2 ORDER BY reading) AS k FROM hits) WHERE k = 1
 """
 
 

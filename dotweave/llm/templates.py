@@ -13,10 +13,11 @@ bands of neighbouring ones, and the best of these is reported. Windows without s
 or with the item's own values in them, need no such check.
 
 Items are read as they are and in lower case, so copies in lower or upper case are
-found too; a document is read once. A document leaks an item if enough of the item's
-windows are found in it: half of them, or as many as thirteen words in a row give.
-Not found: copies that give every word a capital, and re-parameterised copies whose
-new names have none.
+found too. A document is read as it is, and if it holds five words in a row that begin
+with capitals, in lower case too, so copies that give every word a capital are found.
+A document leaks an item if enough of the item's windows are found in it: half of them,
+or as many as thirteen words in a row give; where both readings show a leak, the first
+one is reported. Not found: re-parameterised copies whose new names have no capital.
 
 Edge cases: null and empty texts have no windows; whole texts are read, however long;
 an item shorter than a window is one window of its own length, matched against windows
@@ -50,6 +51,8 @@ NUMBER, NAME, UNIT = "<n>", "<name>", "<u>"
 # Words that are no names though they are capitalised, and numbers in words.
 FUNCTION = "a an the this that these those some any each every all both no not if when while after before because since until although though as at by for from in into of on onto over to under with without within about between during through and or but nor so yet then than there here he she it they we you i his her its their our your my him them us me who whom whose what which where why how is are was were be been being am do does did has have had can could will would shall should may might must let suppose given find calculate determine compute solve show prove answer question problem example solution note explain describe consider how many much more most"
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
+#: Five words in a row that begin with a capital or a digit (all in capitals they need no second reading).
+TITLES = r"(?:^|\s)(?:[^\s\p{L}\p{N}]*(?:\p{Lu}(?:\p{Ll}\S*)?|\p{N}\S*)\s+){4}[^\s\p{L}\p{N}]*(?:\p{Lu}\p{Ll}|\p{N})"
 #: How items are read: as they are, and in lower case.
 READINGS = 2
 SLOTS = f"('{NUMBER}', '{NAME}', '{UNIT}')"
@@ -164,8 +167,18 @@ def _need():
 def leaks(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item, windows, item_windows, slot_values, conflicts) for every different text and item that it leaks."""
     source = df.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
-    met = _matches(source, items, text, item_id, item_text)
-    return met.where(F.col("windows") >= _need()).select("key", "item", F.col("windows"), F.col("n").cast("bigint").alias("item_windows"), "slot_values", "conflicts")
+    low = F.lower("t")
+    titled = F.col("t").rlike(TITLES) & (F.col("t") != low)
+    # The lower case of a text is a text of its own; its leaks are those of all texts that it is the lower case of.
+    read = source.select(F.explode(F.when(titled, F.array("t", low)).otherwise(F.array("t"))).alias("t"))
+    figures = ["n", "windows", "slot_values", "conflicts"]
+    found = cut_lineage(_matches(read, items, text, item_id, item_text).where(F.col("windows") >= _need()).select("key", "item", "row", *figures))
+    second = source.where(titled).select(F.unhex(F.md5("t")).alias("key"), F.unhex(F.md5(low)).alias("low")).distinct()
+    again = found.withColumnRenamed("key", "low")
+    again = second.join(F.broadcast(again) if found.count() * 200 <= SMALL_BYTES // 4 else again, "low").drop("low")
+    both = found.withColumn("reading", F.lit(0)).unionByName(again.withColumn("reading", F.lit(1)))
+    first = both.groupBy("key", "item", "row").agg(F.min(F.struct("reading", *figures)).alias("b"))
+    return first.select("key", "item", "b.windows", F.col("b.n").cast("bigint").alias("item_windows"), "b.slot_values", "b.conflicts")
 
 
 def _key(text: str):

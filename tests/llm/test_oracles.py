@@ -24,13 +24,29 @@ def test_oracle(spark, name):
     _same(queries.QUERIES[name](spark, SF).toPandas(), con.sql(queries.ORACLES[name]).df())
 
 
+def docs_of(rng, texts, items):
+    return [" ".join((rng.choice(texts), rng.choice(items), rng.choice(texts))) for _ in range(12)]
+
+
+def test_copies_with_capitals_are_found(spark):
+    """Every word with a capital, numbers and punctuation included; a few capitals elsewhere change nothing."""
+    item = "a train travels 60 km in two hours and then stops at the old station for lunch"
+    title = " ".join(w.capitalize() for w in item.split())
+    docs = [(1, f"Some words before. {title}! And behind."), (2, title), (3, item), (4, "Five Words In A Row But No Leak At All"), (5, title.replace("60", "75")), (6, None)]
+    a = spark.createDataFrame(docs, "doc_id bigint, text string")
+    b = spark.createDataFrame([(9, item), (9, item), (None, item.upper())], "item_id bigint, text string")
+    got = sorted((r["doc_id"], r["item_id"] or 0) for r in templates.report(a, b).collect())
+    assert got == sorted((d, i) for d in (1, 2, 3, 5) for i in (0, 9, 9))
+    assert {r["doc_id"] for r in templates.remove(a, b).collect()} == {4, 6}
+
+
 def test_leaks_of_mixed_texts(spark):
     """Numbers, names, units, punctuation, case and runs of names, in random order, against the SQL."""
     rng = random.Random(5)
     stock = "the of 7 12 km km, Miles five Seven Peter Anna, (Berlin) New York's apples pears; -- run 'quoted' the é Ärger 3rd x42 and gate river".split()
     texts = [" ".join(rng.choice(stock) for _ in range(rng.randrange(3, 40))) for _ in range(60)]
     items = texts[:8]
-    docs = texts + [" ".join((rng.choice(texts), rng.choice(items), rng.choice(texts))) for _ in range(60)] + [t.lower() for t in items] + [t.upper() for t in items] + ["", None, texts[0], "  \n "]
+    docs = texts + [" ".join((rng.choice(texts), rng.choice(items), rng.choice(texts))) for _ in range(60)] + [t.lower() for t in items] + [t.upper() for t in items] + [" ".join(w[:1].upper() + w[1:] for w in t.split()) for t in items + docs_of(rng, texts, items)] + ["", None, texts[0], "  \n "]
     a = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id bigint, text string")
     b = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id bigint, text string")
     documents, benchmark = a.toPandas(), b.toPandas()  # noqa: F841  read by name
