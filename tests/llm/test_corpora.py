@@ -125,7 +125,7 @@ def test_leaks(spark):
     got = {(r["doc_id"], r["item_id"]) for r in templates.report(df, items).collect()}
     assert got == {(1, 1), (2, 1), (None, 1), (8, 4)}
     clean = templates.remove(df, items)
-    assert clean.columns == df.columns and sorted(r["doc_id"] for r in clean.collect())[:3] == [1, 3, 4] or clean.count() >= 4
+    assert clean.columns == df.columns and {r["doc_id"] for r in clean.collect()} == {d[0] for d in docs} - {1, 2, 8, None}
     assert templates.remove(df, items.where("false")).count() == len(docs)
     assert templates.report(df.where("false"), items).count() == 0
 
