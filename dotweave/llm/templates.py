@@ -53,6 +53,8 @@ FUNCTION = "a an the this that these those some any each every all both no not i
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
 #: Five words in a row that begin with a capital or a digit (all in capitals they need no second reading).
 TITLES = r"(?:^|\s)(?:[^\s\p{L}\p{N}]*(?:\p{Lu}(?:\p{Ll}\S*)?|\p{N}\S*)\s+){4}[^\s\p{L}\p{N}]*(?:\p{Lu}\p{Ll}|\p{N})"
+#: The same of a text behind a space: spaces that no such word can follow are passed at a look.
+BEHIND_SPACE = TITLES.replace(r"(?:^|\s)", r"\s(?![a-z\s])", 1)
 #: How items are read: as they are, and in lower case.
 READINGS = 2
 SLOTS = f"('{NUMBER}', '{NAME}', '{UNIT}')"
@@ -64,12 +66,27 @@ def _words(text: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"[\s\p{Z}]+", " "))
 
 
+def _either(names: str) -> str:
+    """One of the words, whole and in any case; their first letters are told apart first."""
+    by: dict[str, list[str]] = {}
+    for name in dict.fromkeys(names.split()):
+        by.setdefault(name[0], []).append(name[1:])
+    return "(?i:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by.items()) + ")(?= |$)"
+
+
+def _titled(text: Column) -> Column:
+    return F.concat(F.lit(" "), text).rlike(BEHIND_SPACE)
+
+
 def _marked(words: Column) -> Column:
-    """The same words in lower case, with placeholders for numbers, names and units; all in passes over the whole text."""
-    either = lambda names: "(?i:" + "|".join(dict.fromkeys(names.split())) + ")(?= |$)"
-    out = F.regexp_replace(words, f"(?<![^ ])(?:[^ 0-9]*+[0-9][^ ]*+|{either(NUMBERS)})", NUMBER)
-    out = F.regexp_replace(out, rf"(?<![^ ])(?=\p{{Lu}}\p{{Ll}})(?!{either(FUNCTION)})[^ ]++", NAME)
-    return F.lower(F.regexp_replace(out, f"{NUMBER} {either(UNITS)}", f"{NUMBER} {UNIT}"))
+    """The same words in lower case, with placeholders for numbers, names and units; all in passes over the whole text.
+
+    A space is put before the text, so that every word is found by the space before it.
+    """
+    out = F.regexp_replace(F.concat(F.lit(" "), words), f" (?:{_either(NUMBERS)}|[^ 0-9]*+[0-9][^ ]*+)", f" {NUMBER}")
+    out = F.regexp_replace(out, rf" (?=\p{{Lu}}\p{{Ll}})(?!{_either(FUNCTION)})[^ ]++", f" {NAME}")
+    out = F.regexp_replace(out, f"{NUMBER} {_either(UNITS)}", f"{NUMBER} {UNIT}")
+    return F.lower(F.substring(out, 2, 2**31 - 1))
 
 
 def _tokens(df: DataFrame, text: str) -> DataFrame:
@@ -85,17 +102,24 @@ def _filled(df: DataFrame, text: str) -> DataFrame:
     return words.withColumns({"tokens": F.expr(f"filter(m, (x, i) -> NOT {later})"), "plain": F.expr(runs)}).drop("w", "m")
 
 
+def _hash(k: int) -> str:
+    """The hash of the ``k`` tokens from ``at`` on."""
+    return f"xxhash64({k}, {', '.join(f'get(hs, at + {j})' for j in range(k))})"
+
+
 def _windows(df: DataFrame, lengths: list[int], keep: list[str]) -> DataFrame:
-    """One row a window of each length: ``keep``, its place and the hash of its length and tokens. Words are hashed once each."""
+    """One row a window of each length: ``keep``, its place and the hash of its length and tokens. Words are hashed once each.
+
+    Places become rows before windows are hashed, so that Spark compiles hashes and the
+    join behind them into one loop over a text's words; the words don't leave it.
+    """
     hashed = df.select(*keep, F.expr("transform(tokens, t -> xxhash64(t))").alias("hs"))
-    sets = []
-    for k in lengths:
-        window = f"xxhash64({k}, {', '.join(f'get(hs, i + {j})' for j in range(k))})"
-        sets.append(f"CASE WHEN size(hs) >= {k} THEN transform(sequence(0, size(hs) - {k}), i -> struct(i AS at, {k} AS k, {window} AS h)) END")
-    if len(sets) > 1:
-        sets = [f"coalesce({e}, array())" for e in sets]
-    out = hashed.select(*keep, F.explode(F.expr(f"concat({', '.join(sets)})" if len(sets) > 1 else sets[0])).alias("x"))
-    return out.select(*keep, "x.at", "x.k", "x.h")
+    least = min(lengths)
+    out = hashed.select(*keep, "hs", F.explode(F.expr(f"CASE WHEN size(hs) >= {least} THEN sequence(0, size(hs) - {least}) END")).alias("at"))
+    if len(lengths) == 1:
+        return out.select(*keep, "at", F.expr(_hash(least)).alias("h"))
+    out = out.select("*", F.explode(F.array(*[F.lit(k) for k in lengths])).alias("k")).where("at + k <= size(hs)")
+    return out.select(*keep, "at", F.expr(f"CASE k {' '.join(f'WHEN {k} THEN {_hash(k)}' for k in lengths)} END").alias("h"))
 
 
 def _benchmark(items: DataFrame, id: str, text: str) -> DataFrame:
@@ -112,7 +136,7 @@ def _benchmark(items: DataFrame, id: str, text: str) -> DataFrame:
     own = cut_lineage(_filled(read, "t").where(F.size("tokens") >= SHORTEST).withColumn("hs", F.expr("transform(tokens, t -> xxhash64(t))")))
     own = own.select("*", F.least(F.size("tokens"), F.lit(WINDOW)).alias("k")).withColumn("at", F.explode(F.expr("sequence(0, size(tokens) - k)")))
     out = own.withColumn("slot", F.expr(f"transform(slice(tokens, at + 1, k), t -> t IN {SLOTS})")).withColumn("slots", F.expr("size(filter(slot, s -> s))")).where(F.col("k") - F.col("slots") >= LITERAL)
-    hashes = F.coalesce(*[F.when(F.col("k") == k, F.expr(f"xxhash64({k}, {', '.join(f'get(hs, at + {j})' for j in range(k))})")) for k in range(SHORTEST, WINDOW + 1)])
+    hashes = F.coalesce(*[F.when(F.col("k") == k, F.expr(_hash(k))) for k in range(SHORTEST, WINDOW + 1)])
     out = cut_lineage(out.select("item", "row", "k", "at", hashes.alias("h"), F.expr("slice(plain, at + 1, k)").alias("plain"), "slot", "slots"))
     return out.join(out.groupBy("row").agg(F.count(F.lit(1)).cast("int").alias("n")), "row")
 
@@ -125,8 +149,8 @@ def _matches(df: DataFrame, items: DataFrame, text: str, item_id: str, item_text
     send = F.broadcast if rows * 400 <= SMALL_BYTES else (lambda x: x)
     source = df.select(F.unhex(F.md5("t")).alias("key"), "t")
     windows = _windows(_tokens(source, "t"), lengths, ["key"])
-    thin = bench.select(F.col("h").alias("bh"), F.col("k").alias("bk"), "item", "row", "n", F.col("at").alias("iat"), "slots")
-    met = windows.join(send(thin), (F.col("h") == F.col("bh")) & (F.col("k") == F.col("bk")))
+    thin = bench.select(F.col("h").alias("bh"), "item", "row", "n", F.col("at").alias("iat"), "slots")
+    met = windows.join(send(thin), F.col("h") == F.col("bh"))  # the length is in the hash
     met = cut_lineage(met.select("key", "item", "row", "n", "iat", "slots", "at").distinct())
 
     # What fills the slots, for the texts that have any: read again, as they are few; of equal texts each task gives one.
@@ -168,7 +192,7 @@ def leaks(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "i
     """(key, item, windows, item_windows, slot_values, conflicts) for every different text and item that it leaks."""
     source = df.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
     low = F.lower("t")
-    titled = F.col("t").rlike(TITLES) & (F.col("t") != low)
+    titled = _titled(F.col("t")) & (F.col("t") != low)
     # The lower case of a text is a text of its own; its leaks are those of all texts that it is the lower case of.
     read = source.select(F.explode(F.when(titled, F.array("t", low)).otherwise(F.array("t"))).alias("t"))
     figures = ["n", "windows", "slot_values", "conflicts"]

@@ -7,6 +7,7 @@ import sys
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from test_queries import _same
@@ -58,6 +59,41 @@ def test_leaks_of_mixed_texts(spark):
     _same(found, con.sql(queries.ORACLES["op7_benchmark_leaks"]).df())
 
 
+def test_windows_are_compiled(spark):
+    """Spark's compiled loop makes the windows, of one length or of all; one text of many words is no row a word that holds them all."""
+    import time
+
+    text = " ".join(f"word{i % 9973}x" for i in range(200_000))
+    df = templates._tokens(spark.createDataFrame([(1, text), (2, "a b c d e"), (3, ""), (4, None)], "key bigint, t string"), "t")
+    for lengths in ([8], [5, 6, 7, 8]):
+        out = templates._windows(df, lengths, ["key"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Generate ") == sum(line.split("Generate ")[0].rstrip().endswith(")") for line in plan.splitlines() if "Generate " in line) > 0, plan
+        begin = time.time()
+        assert {r["key"]: r["n"] for r in out.groupBy("key").agg(F.count("h").alias("n")).collect()} == {1: sum(200_001 - k for k in lengths)} | ({2: 1} if 5 in lengths else {})
+        assert time.time() - begin < 60
+        # The hash of a window is the benchmark's.
+        items = templates._benchmark(spark.createDataFrame([(1, "zz yy xx ww vv uu tt ss rr")], "id bigint, t string"), "id", "t").select("h")
+        same = templates._windows(templates._tokens(spark.createDataFrame([(1, "zz yy xx ww vv uu tt ss rr")], "key bigint, t string"), "t"), lengths, ["key"])
+        assert {r["h"] for r in items.collect()} <= {r["h"] for r in same.collect()}
+
+
+def test_marks_are_those_of_plain_patterns(spark):
+    """Numbers, names, units and titles by words' first letters and spaces, against the patterns written out."""
+    rng = random.Random(11)
+    stock = " ".join((templates.NUMBERS, templates.FUNCTION, templates.UNITS)).split() + "7 x42 3rd km2 ten's Peter New Ärger é McX Sixty tenor ones onE NINE sixteenth ß Ǆa ٣ -- (Of) \u00a0 \u2028 \t".split(" ")
+    cased = lambda w: rng.choice((w, w, w.capitalize(), w.upper()))
+    texts = [rng.choice(("", " ", "\n")) + rng.choice((" ", " ", "\n", "  ")).join(cased(rng.choice(stock)) for _ in range(rng.randrange(0, 60))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("w", templates._words(F.col("t")))
+    either = lambda names: "(?i:" + "|".join(dict.fromkeys(names.split())) + ")(?= |$)"
+    out = F.regexp_replace("w", f"(?<![^ ])(?:[^ 0-9]*+[0-9][^ ]*+|{either(templates.NUMBERS)})", "<n>")
+    out = F.regexp_replace(out, rf"(?<![^ ])(?=\p{{Lu}}\p{{Ll}})(?!{either(templates.FUNCTION)})[^ ]++", "<name>")
+    plain = F.lower(F.regexp_replace(out, f"<n> {either(templates.UNITS)}", "<n> <u>"))
+    got = df.select(templates._marked(F.col("w")).alias("a"), plain.alias("b"), templates._titled(F.col("t")).alias("c"), F.col("t").rlike(templates.TITLES).alias("d")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got] and [r["c"] for r in got] == [r["d"] for r in got]
+    assert {r["c"] for r in got} == {True, False} and any("<u>" in r["a"] for r in got)
+
+
 def test_long_items_cost_in_proportion(spark):
     import time
 
