@@ -335,6 +335,30 @@ def test_blocks_grow_with_the_corpus(spark, monkeypatch):
     assert max(r["slot"] for r in mixing.positions(df, block=500).collect()) < 13
 
 
+@pytest.mark.parametrize("most, stretch", [(10, 7), (60, 40), (0, 1)])
+def test_places_do_not_depend_on_what_the_driver_schedules(spark, monkeypatch, most, stretch):
+    """Blocks keep their size, and tasks give them the slots that the driver alone gives them."""
+    rng = random.Random(9)
+    rows = [(i, "x" * rng.randrange(0, 300), rng.choice(["hot", "hot", "hot", "b", "c", None])) for i in range(400)] + [(5000, "y" * 2500, "c")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    weights = {"hot": 2.0, "b": 1.0, "c": 0.05, None: 0.7}
+    alone = sorted(map(str, mixing.positions(df, weights=weights, block=500).collect()))
+    order = [r["doc_id"] for r in mixing.mixed(df, weights=weights, block=500, parts=1).collect()]
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", most)
+    monkeypatch.setattr(mixing, "STRETCH", stretch)
+    assert sorted(map(str, mixing.positions(df, weights=weights, block=500, grow=False).collect())) == alone
+    assert [r["doc_id"] for r in mixing.mixed(df, weights=weights, block=500, parts=1, grow=False).collect()] == order
+
+
+def test_queries_keep_the_size_of_blocks(spark, monkeypatch):
+    from dotweave.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    before = sorted(map(str, queries.op2_mixed_sources(spark, folder).collect()))
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 2)
+    assert sorted(map(str, queries.op2_mixed_sources(spark, folder).collect())) == before
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 5, 64, 65, 1000, 4097])
 def test_permutation(size):
     assert sorted(shards.permute(np.arange(size), size).tolist()) == list(range(size))
