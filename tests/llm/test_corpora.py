@@ -458,3 +458,20 @@ def test_pipeline(spark):
         kept = after
     out = corpus_pipeline.run(spark, folder)
     assert out.count() > 0
+
+
+def test_each_of_many_sources_keeps_its_weight(spark, monkeypatch):
+    """Beyond the sources that the driver schedules no source shares the weight of others."""
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 8)
+    weights = {f"s{k}": 1.0 + 3 * (k % 4) for k in range(40)}
+    df = spark.createDataFrame([(i, "x" * 49, f"s{i % 40}") for i in range(1600)], "doc_id bigint, text string, source string")
+    placed = sorted((r["slot"], r["source"], r["block"]) for r in mixing.positions(df, weights=weights, block=50, grow=False).collect())
+    assert [p[0] for p in placed] == list(range(1600))
+    done = dict.fromkeys(weights, 0)
+    for _, s, block in placed:
+        assert block == done[s]
+        done[s] += 1
+        if done[s] == 40:
+            break
+        low, high = max((done[t] - 1) / w for t, w in weights.items()), min((done[t] + 1) / w for t, w in weights.items())
+        assert low <= high  # one number times each weight is within a block of what has been read
